@@ -1,8 +1,8 @@
 """All queries of this subpackage and the SQL of those that SQL can express."""
 
-from tessera.llm import bpe, simhash
+from tessera.llm import bpe, simhash, substring
 
-MODULES = (simhash, bpe)
+MODULES = (simhash, substring, bpe)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
