@@ -301,15 +301,15 @@ QUERIES = {"op9_fm_substring": _query}
 ORACLE_SQL = {
     "op9_fm_substring": r"""
 WITH split AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
 ), windows AS (
-  SELECT doc_id, at, array_to_string(ws[at:at + 49], ' ') AS words
-  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS at FROM split WHERE len(ws) >= 50)
+  SELECT doc_id, start, array_to_string(ws[start:start + 49], ' ') AS words
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS start FROM split WHERE len(ws) >= 50)
 ), firsts AS (
   SELECT words, min(doc_id) AS least FROM windows GROUP BY words
 ), covered AS (
-  SELECT DISTINCT doc_id, at + k AS pos
-  FROM (SELECT doc_id, at FROM windows JOIN firsts USING (words) WHERE least < doc_id), range(0, 50) r(k)
+  SELECT DISTINCT doc_id, start + k AS pos
+  FROM (SELECT doc_id, start FROM windows JOIN firsts USING (words) WHERE least < doc_id), range(0, 50) r(k)
 ), words AS (
   SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM split
 ), kept AS (
