@@ -83,31 +83,36 @@ def decode_documents(encoded: DataFrame, rank_file: str, pattern: str, keep: tup
     return common.map_arrow(encoded.select(*(F.col(f"`{k}`") for k in keep), "token_ids"), run, schema)
 
 
-def round_trip(docs: DataFrame, rank_file: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Encode every text and decode the ids again, keeping digests only: ``n_tokens``, ``ids_sha256`` (decimal ids
-    joined by commas) and ``decoded_sha256`` (the decoded bytes).
+def round_trip(docs: DataFrame, rank_file: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
+    """Encode every text and decode the ids again: ``n_tokens``, ``ids_sha256`` (decimal ids joined by commas),
+    ``decoded_sha256`` (the decoded bytes) and, if asked for, ``token_ids``.
 
-    A text is handled piece by piece, so that a very long one needs no list of all its ids.  Rows are treated as in
-    ``encode_documents``; an empty text has the digest of no bytes.
+    Without ids a text is handled piece by piece, so that a very long one needs no list of all its ids.  Rows are
+    treated as in ``encode_documents``; an empty text has the digest of no bytes.
     """
-    schema = T.StructType([*(docs.schema[k] for k in keep), *(T.StructField(n, t()) for n, t in (("n_tokens", T.LongType), ("ids_sha256", T.StringType), ("decoded_sha256", T.StringType)))])
+    own_fields = [T.StructField(n, t) for n, t in (("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()), *([("token_ids", T.ArrayType(T.IntegerType()))] if with_ids else []))]
+    schema = T.StructType([*(docs.schema[k] for k in keep), *own_fields])
+    types = (pa.int64(), pa.string(), pa.string(), *([pa.list_(pa.int32())] if with_ids else []))
 
-    def digests(text: str, own: tiktoken.Encoding, decimal: list[bytes]) -> tuple[int, str, str]:
-        n, ids_hash, bytes_hash = 0, hashlib.sha256(), hashlib.sha256()
+    def digests(text: str, own: tiktoken.Encoding, decimal: list[bytes]) -> tuple:
+        n, ids_hash, bytes_hash, parts = 0, hashlib.sha256(), hashlib.sha256(), []
         for piece in pieces(text):
             ids = own.encode_ordinary(piece)
             if ids:
                 ids_hash.update((b"," if n else b"") + b",".join([decimal[i] for i in ids]))
                 bytes_hash.update(own.decode_bytes(ids))
                 n += len(ids)
-        return n, ids_hash.hexdigest(), bytes_hash.hexdigest()
+                if with_ids:
+                    parts.append(np.asarray(ids, dtype=np.int32))
+        ids = (np.concatenate([np.empty(0, np.int32), *parts]),) if with_ids else ()
+        return n, ids_hash.hexdigest(), bytes_hash.hexdigest(), *ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(rank_file, pattern)
         decimal = [b"%d" % i for i in range(own.max_token_value + 1)]
         for batch in batches:
             rows = [digests(t or "", own, decimal) for t in batch.column(len(keep)).to_pylist()]
-            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))]
+            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=schema.names)
 
     return common.map_arrow(docs.select(*(F.col(f"`{k}`") for k in keep), F.col("text").cast("string")), run, schema)

@@ -19,6 +19,9 @@ BATCH_ROWS = 512
 #: The same where a row is a few numbers.
 NUMBER_ROWS = 65_536
 
+#: Rows of ids that may be broadcast to pick texts; with more the texts are shuffled.
+BROADCAST_IDS = 500_000
+
 _BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _DIR_KEY = "spark.checkpoint.dir"
 
@@ -78,3 +81,23 @@ def text_bytes(column: str = "text") -> Column:
 def with_row_columns(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns of ``docs``, so that extra columns cannot clash with an operator's own."""
     return docs.select(*(F.col(f"`{n}`") for n in names))
+
+
+def pick(df: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Semi or anti join of a table of texts with a stored table of ids, without a shuffle of texts while ids are few."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
+
+
+def keep_rows(df: DataFrame, judge: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+    """The rows of ``df`` whose text is approved, all columns unchanged; one narrow pass.
+
+    ``judge()``, called once a task, gives a function from a batch's texts (str or None) to booleans.
+    """
+    place = df.schema.names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        approve = judge()
+        for batch in batches:
+            yield batch.filter(pa.array(approve(batch.column(place).to_pylist()), pa.bool_()))
+
+    return map_arrow(df, run, df.schema)

@@ -10,15 +10,16 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.llm import common
 
@@ -85,6 +86,16 @@ class Index:
         item, pairs = self.item_of[which], np.column_stack([self.place_of[which], np.repeat(at, sizes)])
         return {int(i): pairs[item == i] for i in np.unique(item)}
 
+    def covered(self, text: str | None, min_coverage: float) -> Iterator[tuple[int, float, list[tuple[int, int, int]]]]:
+        """Id, coverage and tiles of each item of which ``text`` covers enough."""
+        tokens = words(text)
+        ids = np.fromiter(map(self.vocabulary.get, tokens, repeat(0)), dtype=np.uint64, count=len(tokens))
+        for item, seeds in self.seeds(ids).items():
+            marks = tiles(self.items[item], ids, seeds, self.min_tile)
+            coverage = sum(m[2] for m in marks) / len(self.items[item])
+            if coverage >= min_coverage:
+                yield int(self.item_ids[item]), coverage, marks
+
 
 def tiles(item: np.ndarray, doc: np.ndarray, seeds: np.ndarray, min_tile: int) -> list[tuple[int, int, int]]:
     """Marked tiles ``(place in item, place in document, length)``, longest first; ties to the earlier place in the item, then in the document."""
@@ -119,43 +130,37 @@ def tiles(item: np.ndarray, doc: np.ndarray, seeds: np.ndarray, min_tile: int) -
     return marks
 
 
+def blocks(benchmark: DataFrame, min_tile: int = MIN_TILE) -> Iterator[Broadcast[Index]]:
+    """Indexes of the benchmark, of at most about ``BLOCK_CHARS`` characters each, broadcast one by one."""
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(1, -(-total // BLOCK_CHARS))
+    for block in range(n):
+        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block).orderBy("item_id", "text").collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(Index.build([(-1 if r.item_id is None else r.item_id, r.text) for r in rows], min_tile))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """``(doc_id, item_id, coverage, tiles)`` for every pair with at least ``min_coverage`` of the item under tiles.
 
     ``tiles`` are (place in item, place in document, length) in words: lower-case runs of letters, digits and
     underscores.  Items of fewer than ``min_tile`` words never match.  Null texts are empty; rows that repeat an
-    ``item_id`` are items of their own.  Empty tables give no rows.
+    ``item_id`` are items of their own; a null ``item_id`` is -1.  Empty tables give no rows.
     """
-    spark = docs.sparkSession
-    tile = T.StructType([T.StructField(n, T.IntegerType()) for n in ("item", "doc", "length")])
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("tiles", T.ArrayType(tile))])
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_CHARS))
+    names = ("item", "doc", "length")
+    arrow = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.list_(pa.struct([(n, pa.int32()) for n in names])))])
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = None
-    for block in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        index = spark.sparkContext.broadcast(Index.build([(-1 if r.item_id is None else r.item_id, r.text) for r in rows], min_tile))
+    parts = []
+    for index in blocks(benchmark, min_tile):
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            own = index.value
+        def run(batches: Iterator[pa.RecordBatch], index: Broadcast[Index] = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    tokens = words(text)
-                    ids = np.fromiter(map(own.vocabulary.get, tokens, repeat(0)), dtype=np.uint64, count=len(tokens))
-                    for item, seeds in own.seeds(ids).items():
-                        marks = tiles(own.items[item], ids, seeds, min_tile)
-                        coverage = sum(m[2] for m in marks) / len(own.items[item])
-                        if coverage >= min_coverage:
-                            out.append({"doc_id": doc_id, "item_id": int(own.item_ids[item]), "coverage": coverage, "tiles": [dict(zip(tile.names, m)) for m in marks]})
-                arrow = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.list_(pa.struct([(n, pa.int32()) for n in tile.names])))])
+                pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                out = [{"doc_id": d, "item_id": i, "coverage": c, "tiles": [dict(zip(names, m)) for m in marks]} for d, t in pairs for i, c, marks in index.value.covered(t, min_coverage)]
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-        part = common.map_arrow(source, run, schema)
-        found = part if found is None else found.unionByName(part)
-    return found
+        parts.append(common.map_arrow(source, run, "doc_id long, item_id long, coverage double, tiles array<struct<item:int,doc:int,length:int>>"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, min_coverage: float = MIN_COVERAGE) -> DataFrame:
@@ -173,10 +178,15 @@ def judge(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, min_c
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that no benchmark item covers, all columns unchanged."""
-    hit = common.stored(matches(docs, benchmark).select(F.col("doc_id").alias("_hit")).distinct())
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, min_coverage: float = MIN_COVERAGE) -> DataFrame:
+    """The rows of ``docs`` that cover no benchmark item, all columns unchanged; each row is judged by its own text."""
+    for index in blocks(benchmark, min_tile):
+
+        def clean(index: Broadcast[Index] = index) -> Callable[[list], list[bool]]:
+            return lambda texts: [next(index.value.covered(t, min_coverage), None) is None for t in texts]
+
+        docs = common.keep_rows(docs, clean)
+    return docs
 
 
 def _query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tessera.llm import common
 
 #: Bounds of the sample that a model is fitted on: positives and unlabelled documents, those of least id hash.
-MAX_POSITIVES, MAX_UNLABELLED = 4_000, 12_000
+MAX_POSITIVES, MAX_UNLABELLED = 3_000, 8_000
 #: Class prior where no label says 0, so that the labels can't tell it.
 DEFAULT_PRIOR = 0.5
 #: Score from which label 1 is predicted.
@@ -70,10 +70,18 @@ def risk_and_slopes(p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float,
     return positive, -rest_p, -rest_u
 
 
+def _counts(rows: list[np.ndarray], width: int) -> np.ndarray:
+    """Rows that have each feature, a few hundred rows at a time to spare memory."""
+    out = np.zeros(width, np.int64)
+    for at in range(0, len(rows), 256):
+        out += np.bincount(np.concatenate(rows[at : at + 256]), minlength=width)
+    return out
+
+
 def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most: int = 4096, penalty: float = 1e-4, rounds: int = 400) -> Model:
     """Fit by full-batch Adam on the ``most`` features that set positives apart from unlabelled rows the most.
 
-    Rows are arrays of distinct feature ids.  Deterministic; ties go to the smaller id.  Without rows of either kind
+    Rows are arrays of distinct feature ids, small numbers.  Deterministic; ties go to the smaller id.  Without rows of either kind
     the model has no features and scores the prior.
     """
     prior = min(max(prior, 0.01), 0.99)
@@ -81,21 +89,18 @@ def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     empty = Model(bias, np.empty(0, np.int64), np.empty(0))
     if not positives or not unlabelled:
         return empty
-    ids, inverse = np.unique(np.concatenate([*positives, *unlabelled, np.empty(0, np.int64)]), return_inverse=True)
-    if not len(ids):
-        return empty
-    cut = sum(map(len, positives))
-    in_p, in_u = np.bincount(inverse[:cut], minlength=len(ids)), np.bincount(inverse[cut:], minlength=len(ids))
+    in_p, in_u = (_counts(rows, 1 + max((int(r.max()) for r in (*positives, *unlabelled) if len(r)), default=-1)) for rows in (positives, unlabelled))
     share_p, share_u = in_p / len(positives), in_u / len(unlabelled)
     spread = np.sqrt((share_u * (1 - share_u) + 0.5 / len(unlabelled)) * (1 / len(positives) + 1 / len(unlabelled)))
     apart = np.abs(share_p - share_u) / spread * (in_p + in_u >= 4)
-    chosen = np.sort(np.lexsort((np.arange(len(ids)), -apart))[:most])
-    chosen = chosen[apart[chosen] > 2]
-    features = ids[chosen]
+    features = np.sort(np.lexsort((np.arange(len(apart)), -apart))[:most])
+    features = features[apart[features] > 2]
+    column = np.full(len(apart), -1, np.int32)
+    column[features] = np.arange(len(features))
 
     def narrowed(rows: list[np.ndarray]) -> _Rows:
-        found = [np.searchsorted(features, r) for r in rows]
-        return _Rows([f[(f < len(features)) & (features[np.minimum(f, len(features) - 1)] == r)] if len(features) else f[:0] for f, r in zip(found, rows)], len(features))
+        found = [column[r] for r in rows]
+        return _Rows([f[f >= 0] for f in found], len(features))
 
     p, u = narrowed(positives), narrowed(unlabelled)
     weights = np.zeros(len(features) + 1)

@@ -175,10 +175,15 @@ def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BI
 
     Of rows that repeat that ``doc_id`` one stays.  Rows without a ``doc_id`` cannot name a component and all stay.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), words, max_bits)
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id IS NULL"))
+    found = near_duplicates(docs.select("doc_id", "text"), words, max_bits).filter("doc_id IS NOT NULL")
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("kept"))
+    odd = common.stored(ids.filter("NOT kept OR n > 1"))
+    kept = common.pick(docs, odd.filter("NOT kept").select("doc_id"), ["doc_id"], "left_anti")
+    repeated = odd.filter("kept AND n > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    once = common.pick(kept, repeated, ["doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    return common.pick(kept, repeated, ["doc_id"], "left_anti").unionByName(once)
 
 
 def _query(spark: SparkSession, sf_dir: str) -> DataFrame:

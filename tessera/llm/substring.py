@@ -32,8 +32,6 @@ from tessera.llm import common
 WINDOW = 50
 #: Segments of one shard; also the segments of one minimizer above which it is split into blocks.
 SHARD_SEGMENTS = 16_384
-#: Documents whose ids may be broadcast to fetch only their texts again; beyond it all texts are joined by shuffle.
-BROADCAST_IDS = 500_000
 
 _LAST = 2**63 - 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -210,8 +208,7 @@ def _cut(docs: DataFrame, window: int) -> DataFrame:
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``docs`` without rows that ``wanted (d, h, ...)`` doesn't name, where its ids are few enough to broadcast."""
-    ids = wanted.select("d", "h").distinct()
-    return docs.join(F.broadcast(ids), ["d", "h"], "left_semi") if wanted.count() <= BROADCAST_IDS else docs
+    return common.pick(docs, wanted.select("d", "h"), ["d", "h"], "left_semi") if wanted.count() <= common.BROADCAST_IDS else docs
 
 
 def duplicate_spans(docs: DataFrame, cut: DataFrame, window: int = WINDOW) -> DataFrame:

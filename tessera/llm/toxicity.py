@@ -8,7 +8,6 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm import common, pu
 
@@ -71,11 +70,15 @@ def score(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
     return pu.judged(pu.score(docs, model, scorer), FOLDS, HELD_OUT)
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, all columns unchanged.  Equal texts are judged alike."""
-    found = score(docs, labels)
-    toxic = found.filter("predicted = 1").select(F.col("doc_id").alias("_toxic")).distinct()
-    return docs.join(toxic, F.col("doc_id") == F.col("_toxic"), "left_anti")
+def drop_toxic(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, all columns unchanged.  Rows are treated as in ``score``."""
+    model = pu.learn(docs, labels, "toxic", features, FOLDS, HELD_OUT, **bounds)
+
+    def judge() -> Callable[[list], list[bool]]:
+        margin = scorer(model)
+        return lambda texts: [bool(pu.sigmoid(np.float64(margin(t and t.encode("utf-8", "surrogatepass")))) < pu.PREDICT_FROM) for t in texts]
+
+    return common.keep_rows(docs, judge)
 
 
 def _query(spark: SparkSession, sf_dir: str) -> DataFrame:

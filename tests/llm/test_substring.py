@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from tessera.llm import substring
+from tessera.llm import common, substring
 
 
 def _plain(rows, window):
@@ -75,7 +75,7 @@ def test_equal_windows_have_equal_minimizers():
 @pytest.mark.parametrize(("limit", "ids"), [(16_384, 500_000), (8, 0)])
 def test_documents_equal_brute_force(spark, monkeypatch, limit, ids):
     monkeypatch.setattr(substring, "SHARD_SEGMENTS", limit)
-    monkeypatch.setattr(substring, "BROADCAST_IDS", ids)
+    monkeypatch.setattr(common, "BROADCAST_IDS", ids)
     rows = _corpus(3, 150, 4000, 4) + [(200, ["x"] * 130), (201, ["x"] * 90), (202, [])]
     rows += [(None, rows[0][1] + rows[10][1]), (7, rows[3][1]), (7, rows[3][1]), (203, rows[40][1] * 3)]
     rng = random.Random(4)
