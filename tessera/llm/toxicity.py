@@ -43,7 +43,7 @@ def scorer(model: pu.Model) -> Callable[[bytes | None], float]:
     def margin(text: bytes | None) -> float:
         words = _words(text)
         fresh = words - plain
-        new = fresh - telling.keys()
+        new = fresh.difference(telling)
         if len(plain) + len(telling) + len(new) > MEMORY:
             plain.clear()
             telling.clear()
