@@ -102,7 +102,7 @@ def count_tokens(docs: DataFrame, model_file: str, mark: str = "▁") -> DataFra
             rows = np.zeros((3, batch.num_rows), np.int64)
             for i, text in enumerate(batch.column(1).to_pylist()):
                 words = (text or b"").split()
-                new = set(words) - memory.keys()
+                new = set(words).difference(memory)
                 if len(memory) + len(new) > MEMORY:
                     memory.clear()
                     new = set(words)
