@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.config import ABSOLUTE, BPS, PCT, Tolerance
@@ -20,6 +20,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``rows`` with a column that later filters read instead of repeating: the optimizer copies a projection's
+    definitions into filters above it, but doesn't reach through a generator.  The generator here makes one row of one."""
+    return rows.withColumn(name, F.explode(F.array(value)))
+
+
 def tidy(value: Column) -> Column:
     """NaN as null, so that comparisons with missing numbers are never true."""
     return F.when(~F.isnan(value), value)

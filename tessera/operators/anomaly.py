@@ -65,7 +65,7 @@ def regime_ratio(silver: DataFrame, settings: Anomaly) -> DataFrame:
     returns = F.zip_with(F.slice("_values", F.lit(2), n - 1), F.slice("_values", F.lit(1), n - 1), lambda b, a: b / F.when(a != 0, a) - 1)
     recent = lambda r: F.slice(r, -F.least(F.lit(settings.regime_window), F.size(r)), F.lit(settings.regime_window))
     ratio = X.let(returns, lambda r: X.let(_deviation(r), lambda long: F.when(long > 0, X.let(recent(r), _deviation) / long)))
-    return rows.withColumn("regime_ratio", F.when(n >= 4, ratio)).drop("_values")
+    return X.once(rows, "regime_ratio", F.when(n >= 4, ratio)).drop("_values")
 
 
 def classify(silver: DataFrame, settings: Anomaly) -> DataFrame:

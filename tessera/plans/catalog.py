@@ -104,6 +104,7 @@ def _faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- Election -------------------------------------------------------------------------------------------------------
 
+_SOURCES = ("s1", "s2", "s3")
 _ELECT = Reconciliation(tolerances={"CLOSE": Tolerance(BPS, 25.0)})
 
 _ELECTION = f"""{FEED}, wide AS (
@@ -125,7 +126,7 @@ _ELECTION = f"""{FEED}, wide AS (
 
 
 def _elected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.elect(reconcile.votes(feeds.feed(spark, sf_dir)), _ELECT)
+    return reconcile.elect_known(feeds.feed(spark, sf_dir), _ELECT, _SOURCES)
 
 
 @query(
@@ -150,7 +151,7 @@ FROM wide WHERE NOT abs(a - c) / greatest(abs(a), abs(c)) * 10000 <= 25""",
 )
 def reconciliation_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = feeds.feed(spark, sf_dir).filter("source_id <> 's2'")
-    found = reconcile.breaks(reconcile.elect(reconcile.votes(rows), _ELECT))
+    found = reconcile.breaks(reconcile.elect_known(rows, _ELECT, _SOURCES))
     return found.select("instrument_id", "business_date", "field", F.col("source_values")["s1"].alias("value_s1"), F.col("source_values")["s3"].alias("value_s3"), X.sorted_list(F.col("dissenting_sources")).alias("dissenting_sources"), "tolerance_band")
 
 
@@ -162,7 +163,7 @@ SELECT instrument_id, business_date, CASE WHEN count(DISTINCT value) = 1 THEN mi
 FROM feed GROUP BY instrument_id, business_date""",
 )
 def election_unanimous(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reconcile.elect(reconcile.votes(feeds.feed(spark, sf_dir)), Reconciliation(tolerances={}))
+    rows = reconcile.elect_known(feeds.feed(spark, sf_dir), Reconciliation(tolerances={}), _SOURCES)
     return rows.select("instrument_id", "business_date", "golden_value", "confidence", "tolerance_band")
 
 
@@ -551,7 +552,7 @@ def back_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     + f" SELECT instrument_id, business_date, {cut_sql('golden')} AS golden_value, confidence, quorum AS quorum_sources FROM elected WHERE golden IS NOT NULL",
 )
 def gold_after_adjustment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reconcile.elect(reconcile.votes(_adjusted(spark, sf_dir)), _ELECT).filter("golden_value IS NOT NULL")
+    rows = reconcile.elect_known(_adjusted(spark, sf_dir), _ELECT, _SOURCES).filter("golden_value IS NOT NULL")
     return rows.select("instrument_id", "business_date", cut(F.col("golden_value")).alias("golden_value"), "confidence", X.sorted_list(F.col("quorum_sources")).alias("quorum_sources"))
 
 
@@ -586,7 +587,7 @@ def _two(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Breaks between ``s1`` and ``s3`` where ``s2`` is silent; ``s3`` is silent too on the last days."""
     rows = feeds.feed(spark, sf_dir)
     rows = rows.filter((F.col("source_id") != "s2") & ~((F.col("source_id") == "s3") & (_day(rows) >= 25)))
-    return reconcile.breaks(reconcile.elect(reconcile.votes(rows), _ELECT))
+    return reconcile.breaks(reconcile.elect_known(rows, _ELECT, _SOURCES))
 
 
 _TWO = f"""{FEED}, wide AS (
@@ -624,7 +625,7 @@ FROM tried""",
 def remediation_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Breaks of two sources, and how many are gone once the third source has answered."""
     rows = feeds.feed(spark, sf_dir)
-    before = reconcile.elect(reconcile.votes(rows.filter("source_id <> 's2'")), _ELECT).select("instrument_id", "business_date", "golden_value")
+    before = reconcile.elect_known(rows.filter("source_id <> 's2'"), _ELECT, _SOURCES).select("instrument_id", "business_date", "golden_value")
     after = _elected(spark, sf_dir).select("instrument_id", "business_date", F.array_contains("quorum_sources", "s2").alias("joined"), F.array_contains("quorum_sources", "s1").alias("kept"))
     both = before.join(after, ["instrument_id", "business_date"]).groupBy("business_date").agg(
         F.count_if(F.col("golden_value").isNull()).alias("attempted"), F.count_if(F.col("golden_value").isNull() & F.col("joined") & F.col("kept")).alias("succeeded")
