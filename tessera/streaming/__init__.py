@@ -51,7 +51,8 @@ def barrier(events: DataFrame, sources: tuple[str, ...], lateness: str = "1 day"
     """Runs that all ``sources`` have reported for, each once, with the time of the last report.
 
     ``agent`` names the source.  A run's state is the set of sources seen, at most as long as ``sources``; it is kept
-    until the run is complete and then only remembers that.  A run that stalls is forgotten after ``lateness``.
+    until the run is complete and then only remembers that.  A run that reports nothing more is forgotten once the
+    watermark is ``lateness`` past its last report.
     """
     wanted = set(sources)
 
@@ -66,12 +67,12 @@ def barrier(events: DataFrame, sources: tuple[str, ...], lateness: str = "1 day"
             last = max(filter(pd.notna, [last, batch["ts"].max()]), default=None)
         done = have == wanted
         state.update((",".join(sorted(have)), done))
-        state.setTimeoutDuration(_milliseconds(lateness))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(last.timestamp() * 1000) if last is not None else 0) + _milliseconds(lateness))
         if done and not fired:
             yield pd.DataFrame({"run_id": [key[0]], "n_sources": [len(have)], "last_report": [last]})
 
-    return events.groupBy("run_id").applyInPandasWithState(
-        step, "run_id string, n_sources bigint, last_report timestamp", "seen string, fired boolean", "append", GroupStateTimeout.ProcessingTimeTimeout
+    return events.withWatermark("ts", lateness).groupBy("run_id").applyInPandasWithState(
+        step, "run_id string, n_sources bigint, last_report timestamp", "seen string, fired boolean", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
