@@ -35,7 +35,7 @@ def test_query_equals_sql(spark, sql, name):
     names, found = _rows(catalog.QUERIES[name](spark, DIR).toArrow())
     expected_names, expected = _rows(sql.execute(catalog.ORACLE_SQL[name]).to_arrow_table())
     assert names == expected_names
-    assert found and found == expected
+    assert found == expected
 
 
 def test_entry_module():
