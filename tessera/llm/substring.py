@@ -31,7 +31,7 @@ from tessera.llm import common
 
 WINDOW = 50
 #: Segments of one shard; also the segments of one minimizer above which it is split into blocks.
-SHARD_SEGMENTS = 16_384
+SHARD_SEGMENTS = 8_192
 
 _LAST = 2**63 - 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
