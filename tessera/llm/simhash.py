@@ -166,7 +166,8 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int =
     named = roots.join(nodes, "fp")
     least = named.groupBy("root").agg(F.min("least").alias("reached"))
     reached = roots.join(least, "root").select("fp", "reached")
-    classes = nodes.join(reached, "fp", "left").select("fp", F.coalesce("reached", "least").alias("component_id"))
+    # Stored, so that both sides of the last join are plain exchanges, of which a hot fingerprint's can be split.
+    classes = common.stored(nodes.join(reached, "fp", "left").select("fp", F.coalesce("reached", "least").alias("component_id")))
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
