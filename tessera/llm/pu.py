@@ -54,17 +54,25 @@ class _Rows:
         return np.bincount(self.column, weights=slopes[self.row], minlength=self.width)
 
 
-def risk_and_slopes(p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
-    """Non-negative risk with logistic loss at margins ``p`` (positives) and ``u`` (unlabelled), and its slopes.
+#: Loss of a margin and its slope.  The logistic one makes scores probabilities; the sigmoid one is bounded, which
+#: keeps the estimate of a small negative risk from drowning in the positives' large margins when most are positive.
+LOSSES: dict[str, tuple[Callable[[np.ndarray], np.ndarray], Callable[[np.ndarray], np.ndarray]]] = {
+    "logistic": (lambda f: np.logaddexp(0, -f), lambda f: -sigmoid(-f)),
+    "sigmoid": (lambda f: sigmoid(-f), lambda f: -sigmoid(f) * sigmoid(-f)),
+}
+
+
+def risk_and_slopes(p: np.ndarray, u: np.ndarray, prior: float, loss: str = "logistic") -> tuple[float, np.ndarray, np.ndarray]:
+    """Non-negative risk at margins ``p`` (positives) and ``u`` (unlabelled), and its slopes.
 
     The negative risk, ``E_u[l(-f)] - prior * E_p[l(-f)]``, cannot truly be below zero; where its estimate is, it
     counts as zero and the step goes the other way to undo the overfit.
     """
-    loss = lambda f: np.logaddexp(0, -f)
-    positive = prior * loss(p).mean()
-    negative = loss(-u).mean() - prior * loss(-p).mean()
-    slope_p = prior * -sigmoid(-p) / len(p)
-    rest_p, rest_u = -prior * sigmoid(p) / len(p), sigmoid(u) / len(u)
+    value, slope = LOSSES[loss]
+    positive = prior * value(p).mean()
+    negative = value(-u).mean() - prior * value(-p).mean()
+    slope_p = prior * slope(p) / len(p)
+    rest_p, rest_u = prior * slope(-p) / len(p), -slope(-u) / len(u)
     if negative >= 0:
         return positive + negative, slope_p + rest_p, rest_u
     return positive, -rest_p, -rest_u
@@ -78,7 +86,7 @@ def _counts(rows: list[np.ndarray], width: int) -> np.ndarray:
     return out
 
 
-def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most: int = 4096, penalty: float = 1e-4, rounds: int = 400) -> Model:
+def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most: int = 4096, penalty: float = 1e-4, rounds: int = 400, loss: str = "logistic") -> Model:
     """Fit by full-batch Adam on the ``most`` features that set positives apart from unlabelled rows the most.
 
     Rows are arrays of distinct feature ids, small numbers.  Deterministic; ties go to the smaller id.  Without rows of either kind
@@ -109,7 +117,7 @@ def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     best, best_risk = weights.copy(), np.inf
     for step in range(1, rounds + 1):
         at_p, at_u = p.margins(weights[:-1]) + weights[-1], u.margins(weights[:-1]) + weights[-1]
-        risk, slope_p, slope_u = risk_and_slopes(at_p, at_u, prior)
+        risk, slope_p, slope_u = risk_and_slopes(at_p, at_u, prior, loss)
         if risk < best_risk:
             best, best_risk = weights.copy(), risk
         slope = np.append(p.gradient(slope_p) + u.gradient(slope_u) + penalty * weights[:-1], slope_p.sum() + slope_u.sum())
@@ -123,7 +131,7 @@ def fold(doc_id: Column, folds: int, held_out: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds == held_out
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str, features: Callable[[bytes | None], np.ndarray], folds: int, held_out: int, max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED, **settings: float) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, label: str, features: Callable[[bytes | None], np.ndarray], folds: int, held_out: int, max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED, **settings: float | str) -> Model:
     """Fit on documents labelled 1 and on unlabelled text, none of it of the held-out fold.
 
     The class prior is the share of 1 among that fold's labels.  A document with contradicting labels counts as 1.

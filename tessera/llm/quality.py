@@ -65,7 +65,7 @@ def score(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
     alone.  A null text is empty.  Without positives every score is the class prior.  Repeated rows are scored each,
     rows with a null ``doc_id`` too (never learnt from).
     """
-    model = pu.learn(docs, labels, "quality", features, FOLDS, HELD_OUT, **bounds)
+    model = pu.learn(docs, labels, "quality", features, FOLDS, HELD_OUT, loss="sigmoid", **bounds)
     return pu.judged(pu.score(docs, model, scorer), FOLDS, HELD_OUT)
 
 

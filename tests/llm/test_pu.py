@@ -9,15 +9,17 @@ import pytest
 from tessera.llm import pu, quality, toxicity
 
 
-def test_slopes_equal_differences():
+@pytest.mark.parametrize("name", ["logistic", "sigmoid"])
+def test_slopes_equal_differences(name):
     rng = np.random.default_rng(0)
+    value = pu.LOSSES[name][0]
     for shift in (0.0, 4.0):  # with shift 4 the negative risk is below zero
         p, u, prior = rng.normal(size=5) + shift, rng.normal(size=7) - shift, 0.4
-        risk, slope_p, slope_u = pu.risk_and_slopes(p, u, prior)
+        risk, slope_p, slope_u = pu.risk_and_slopes(p, u, prior, name)
         if shift:
-            loss = lambda a, b: prior * np.logaddexp(0, a).mean() - np.logaddexp(0, b).mean()
+            loss = lambda a, b: prior * value(-a).mean() - value(-b).mean()
         else:
-            loss = lambda a, b: pu.risk_and_slopes(a, b, prior)[0]
+            loss = lambda a, b: pu.risk_and_slopes(a, b, prior, name)[0]
         for k in range(5):
             step = np.zeros(5)
             step[k] = 1e-5
