@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+from collections.abc import Mapping
 from dataclasses import dataclass, field, fields, is_dataclass, replace
 from typing import Any
 
@@ -122,3 +125,13 @@ def _over(base: Any, given: dict[str, Any]) -> Any:
         old = getattr(base, name)
         changes[name] = _over(old, value) if is_dataclass(old) and isinstance(value, dict) else tuple(value) if isinstance(old, tuple) else value
     return replace(base, **changes)
+
+
+_SECRET = re.compile(r"(^|_)(API_?KEY|SECRET|TOKEN|PASSWORD|PASSWD|CREDENTIALS?)$", re.IGNORECASE)
+
+
+def refuse_secrets(environment: Mapping[str, str] | None = None, prefix: str = "TESSERA_") -> None:
+    """The engine needs no secrets: one of its own variables that is named like one is a mistake and raises."""
+    names = os.environ if environment is None else environment
+    if found := sorted(n for n in names if n.upper().startswith(prefix) and _SECRET.search(n)):
+        raise RuntimeError(f"no secrets are needed; unset {', '.join(found)}")
