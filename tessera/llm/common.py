@@ -54,12 +54,15 @@ def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
     return df.mapInArrow(function, schema)
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor and the driver see: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
     folder = spark.conf.get(_DIR_KEY, None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set(_DIR_KEY, folder)
+        application = spark.sparkContext.applicationId
+        folder = _own_dirs.get(application) or _own_dirs.setdefault(application, tempfile.mkdtemp(prefix="tessera-"))
     return folder.rstrip("/")
 
 
