@@ -112,17 +112,24 @@ class Crf:
     def decode(self, tokens: Tokens) -> np.ndarray:
         """Best labels of all tokens by Viterbi.
 
-        Where label 0 beats every other one by more than any transitions could make good, it is certain.  Chains fall
-        apart at certain tokens; only the runs between them are decoded, side by side.
+        A run of other labels pays what label 0 leads by at each of its tokens, and wins at most a constant for
+        entering and leaving and one for each step inside.  Where no run through a token can win, label 0 is certain.
+        Chains fall apart at certain tokens; only the stretches between them are decoded, side by side.
         """
         n = len(tokens.start)
         labels = np.zeros(n, np.int64)
         if not n:
             return labels
-        lead = sum((t[:, 0] - t[:, 1:].max(axis=1))[tokens.features[:, k]] for k, t in enumerate(self.tables))
-        gain = (self.moves[:, 1:, None] + self.moves[None, 1:, :] - self.moves[:, :1, None] - self.moves[None, :1, :]).max()
-        # Going round label 0 at one token can win at most ``gain``, whatever stands beside it.
-        open_ = lead <= gain + 1e-9
+        everything = self.scores(tokens.features)
+        lead = everything[:, 0] - everything[:, 1:].max(axis=1)
+        stay = self.moves[0, 0]
+        inside = self.moves[1:, 1:].max() - stay
+        ends = self.moves[0, 1:].max() + self.moves[1:, 0].max() - 2 * stay
+        worth = inside - lead
+        total = np.concatenate([[0], np.cumsum(worth)])
+        left = total[:-1] - np.minimum.accumulate(total)[:-1]  # most that a run can bring along from before a token
+        right = np.maximum.accumulate(total[::-1])[::-1][1:] - total[1:]  # and from after it
+        open_ = left + worth + right + ends - inside >= -1e-6
         new = open_ & np.concatenate([[True], ~open_[:-1] | (tokens.text[1:] != tokens.text[:-1])])
         first = np.flatnonzero(new)
         if not len(first):
@@ -132,7 +139,7 @@ class Crf:
         order = np.argsort(-size, kind="stable")
         falling = -size[order]
         places = first[order]
-        scores = self.scores(tokens.features[open_])
+        scores = everything[open_]
         row_of = np.cumsum(open_) - 1
         best = self.moves[0] + scores[row_of[places]]
         back = []
