@@ -214,7 +214,8 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def duplicate_spans(docs: DataFrame, cut: DataFrame, window: int = WINDOW) -> DataFrame:
     """``(d, h, spans)``: word intervals (start, end exclusive) to remove, for rows that have any."""
     parts = cut.select("d", "h", F.explode("cuts").alias("s")).select("d", "h", "s.*")
-    shared = parts.groupBy("m").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).filter("lo < hi").select("m")
+    # Stored, so that both sides of the join are plain exchanges, of which a hot minimizer's can be split.
+    shared = common.stored(parts.groupBy("m").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).filter("lo < hi").select("m"))
     kept = common.stored(parts.join(shared, "m"))
     contents = common.stored(kept.groupBy("m", "c").agg(F.min(F.struct("d", "h", "first", "last")).alias("r")).select("m", "c", "r.*"))
 
@@ -234,7 +235,8 @@ def duplicate_spans(docs: DataFrame, cut: DataFrame, window: int = WINDOW) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.int64()), pa.array(words, pa.binary())], names=["m", "c", "d", "words"])
 
     shards = max(1, -(-contents.count() // SHARD_SEGMENTS))
-    hot = contents.groupBy("m").agg(F.count("*").alias("n")).filter(F.col("n") > SHARD_SEGMENTS).select("m", F.ceil(F.col("n") * 2 / SHARD_SEGMENTS).cast("int").alias("blocks"))
+    # Stored, so that its true size is known: as a rule it is tiny, and the segments' words are not shuffled to meet it.
+    hot = common.stored(contents.groupBy("m").agg(F.count("*").alias("n")).filter(F.col("n") > SHARD_SEGMENTS).select("m", F.ceil(F.col("n") * 2 / SHARD_SEGMENTS).cast("int").alias("blocks")))
     own = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64(F.col("m"), F.least(F.col("own"), j), F.greatest(F.col("own"), j)))
     dealt = (
