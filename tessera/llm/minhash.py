@@ -1,0 +1,169 @@
+"""Near-duplicates by Jaccard similarity of word shingles: MinHash bands propose, whole shingle sets decide.
+
+Texts whose sets share ``k`` of all ``n`` shingles agree in one minimum with probability ``k / n``.  A band is the key of
+``ROWS`` minima; with 32 bands of 4, two sets of similarity 0.8 share none with probability (1 - 0.8^4)^32 = 5e-8, more
+similar ones more rarely.  Whatever shares a band is compared by its whole sets, so that no link is an estimate.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.llm import common, simhash
+
+SHINGLE_WORDS = 5
+SIMILARITY = 0.8
+BANDS, ROWS = 32, 4
+SEED = 42
+#: Sets that one group compares at most twice over; a band with more is split into pairs of blocks.
+BLOCK = 1024
+
+_FACTORS = np.asarray([xxhash.xxh64_intdigest(b"minimum %d" % k, seed=SEED) | 1 for k in range(BANDS * ROWS)], dtype=np.uint64)
+_MIX = np.asarray([xxhash.xxh64_intdigest(b"band %d" % k, seed=SEED) | 1 for k in range(BANDS * ROWS)], dtype=np.uint64).reshape(BANDS, ROWS)
+
+
+def shingles(text: bytes | None, words: int = SHINGLE_WORDS) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles; a shorter text is one shingle, one without words has none."""
+    tokens = (text or b"").lower().split()  # as the fingerprints do
+    if not tokens:
+        return np.empty(0, np.uint64)
+    grams = map(b" ".join, zip(*(tokens[k:] for k in range(words)))) if len(tokens) >= words else [b" ".join(tokens)]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), dtype=np.uint64))
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """Keys of the bands of one set; none for the empty set."""
+    if not len(found):
+        return np.empty(0, np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), 512):
+        np.minimum(least, (found[at : at + 512, None] * _FACTORS).min(axis=0), out=least)
+    return (least.reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def _print(found: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(found.tobytes(), seed=SEED)
+
+
+def prints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+    """``(doc_id, body, print, bands)`` for every row: hash of the text, hash of its shingle set as signed long, band keys."""
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in ("body", "print")), T.StructField("bands", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, words) for t in batch.column(2).to_pylist()]
+            keys = [bands(s) for s in sets]
+            hashes = np.asarray([_print(s) for s in sets], dtype=np.uint64).view(np.int64)
+            offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+            flat = np.concatenate([*keys, np.empty(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hashes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=schema.names)
+
+    return common.map_arrow(docs.select(F.col("doc_id"), F.xxhash64("text").alias("body"), common.text_bytes()), run, schema)
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """``(print, ids)``, the shingle sets as bytes, of the texts whose hash ``wanted (body)`` names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            fresh = {}
+            for text in batch.column(0).to_pylist():
+                found = shingles(text, words)
+                if (key := _print(found)) not in seen:
+                    seen.add(key)
+                    fresh[key] = found.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray([*fresh], dtype=np.uint64).view(np.int64)), pa.array([*fresh.values()], pa.binary())], names=["print", "ids"])
+
+    texts = common.pick(docs.select("text", F.xxhash64("text").alias("body")), wanted, ["body"], "left_semi")
+    return common.map_arrow(texts.select(common.text_bytes()), run, "print long, ids binary").groupBy("print").agg(F.first("ids").alias("ids"))
+
+
+def _stars(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Links that connect what is ``similarity`` or more alike, each to the first of its component: a forest, not all pairs."""
+    sizes = np.asarray([len(s) for s in sets])
+    ids = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(sizes)[:-1])
+    marks = np.zeros(1 + max(int(i.max()) for i in ids), bool)
+    left, heads, tails = np.arange(1, len(sets)), [], []
+    head, frontier, flat = 0, [0], None
+    while len(left):
+        if not frontier:
+            head, left, flat = int(left[0]), left[1:], None
+            frontier = [head]
+            continue
+        if flat is None:
+            flat = np.concatenate([ids[k] for k in left])
+            starts = np.concatenate([[0], np.cumsum(sizes[left])[:-1]])
+        now = frontier.pop()
+        marks[ids[now]] = True
+        shared = np.add.reduceat(marks[flat], starts, dtype=np.int64)
+        marks[ids[now]] = False
+        near = shared >= similarity * (sizes[now] + sizes[left] - shared) - 1e-9
+        if near.any():
+            found = left[near].tolist()
+            heads.extend([head] * len(found))
+            tails.extend(found)
+            frontier.extend(found)
+            left, flat = left[~near], None
+    return heads, tails
+
+
+def links(docs: DataFrame, nodes: DataFrame, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """Edges ``(a, b)`` between ``nodes (print, body, bands)`` whose components are those of all pairs that share a band and are alike.
+
+    Bands of the same members are compared once.  A band with over ``BLOCK`` members is split: each member goes to
+    every pair of blocks with its own block, so that none of its pairs is lost.
+    """
+    placed = common.stored(nodes.select("print", "body", F.explode("bands").alias("band")))
+    alike = placed.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("print")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "print")).alias("y")).filter("n > 1")
+    crowded = alike.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    members = common.stored(placed.join(crowded, "band"))
+    sets = common.stored(_sets(docs, common.stored(members.select("body").distinct()), words))
+    split = members.withColumn("own", F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int"))
+    pairs = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(F.col("own"), j) * F.col("blocks") + F.greatest(F.col("own"), j)))
+    dealt = split.select("band", F.explode(pairs).alias("pair"), "print").join(sets, "print").select("band", "pair", "print", "ids")
+    sorted_ = dealt.repartition("band", "pair").sortWithinPartitions("band", "pair", "print")
+
+    def compared(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        heads, tails = _stars([np.frombuffer(ids, np.uint64) for _, ids in rows], similarity)
+        return pa.RecordBatch.from_arrays([pa.array([rows[k][0] for k in side], pa.int64()) for side in (heads, tails)], names=["a", "b"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows = None, []
+        for batch in batches:
+            for band, pair, key, ids in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if (band, pair) != group:
+                    if len(rows) > 1:
+                        yield compared(rows)
+                    group, rows = (band, pair), []
+                rows.append((key, ids))
+        if len(rows) > 1:
+            yield compared(rows)
+
+    return common.stored(common.map_arrow(sorted_, compare, "a long, b long").distinct())
+
+
+def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """``(doc_id, print, component_id)`` for every row of ``docs``.
+
+    ``component_id`` is the smallest ``doc_id`` reachable over links of Jaccard similarity ``similarity`` or more, itself
+    included.  Texts without words (null, empty, blank) are copies of each other.  Repeated and null ids are treated as
+    in ``simhash.near_duplicates``.
+    """
+    found = common.stored(prints(docs, words))
+    # A text's hash is taken along to find one text of each set again.
+    nodes = common.stored(found.groupBy("print").agg(F.min("doc_id").alias("least"), F.min("body").alias("body"), F.first("bands").alias("bands")))
+    return simhash.named(found.select("doc_id", "print"), nodes.select("print", "least"), links(docs, nodes, words, similarity), "print")
+
+
+def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each group of near-duplicates, all columns unchanged; elected as by ``simhash.keep_one``."""
+    return simhash.elected(docs, near_duplicates(docs.select("doc_id", "text"), words, similarity))

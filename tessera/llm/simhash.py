@@ -162,13 +162,18 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int =
     """
     prints = common.stored(fingerprints(docs, words))
     nodes = common.stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = common.stored(graph.components(links(nodes, max_bits)).select(F.col("node").alias("fp"), "root"))
-    named = roots.join(nodes, "fp")
-    least = named.groupBy("root").agg(F.min("least").alias("reached"))
-    reached = roots.join(least, "root").select("fp", "reached")
+    return named(prints, nodes, links(nodes, max_bits), "fp")
+
+
+def named(prints: DataFrame, nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """``(doc_id, key, component_id)`` for every row of ``prints (doc_id, key)``, with ``nodes (key, least)`` linked by ``edges (a, b)``."""
+    roots = common.stored(graph.components(edges).select(F.col("node").alias(key), "root"))
+    linked = roots.join(nodes, key)
+    least = linked.groupBy("root").agg(F.min("least").alias("reached"))
+    reached = roots.join(least, "root").select(key, "reached")
     # Stored, so that both sides of the last join are plain exchanges, of which a hot fingerprint's can be split.
-    classes = common.stored(nodes.join(reached, "fp", "left").select("fp", F.coalesce("reached", "least").alias("component_id")))
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = common.stored(nodes.join(reached, key, "left").select(key, F.coalesce("reached", "least").alias("component_id")))
+    return prints.join(classes, key).select("doc_id", key, "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
@@ -176,7 +181,12 @@ def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BI
 
     Of rows that repeat that ``doc_id`` one stays.  Rows without a ``doc_id`` cannot name a component and all stay.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), words, max_bits).filter("doc_id IS NOT NULL")
+    return elected(docs, near_duplicates(docs.select("doc_id", "text"), words, max_bits))
+
+
+def elected(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``keep_one`` by the components that ``classes (doc_id, component_id)`` gives."""
+    found = classes.filter("doc_id IS NOT NULL")
     ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("kept"))
     odd = common.stored(ids.filter("NOT kept OR n > 1"))
     kept = common.pick(docs, odd.filter("NOT kept").select("doc_id"), ["doc_id"], "left_anti")
