@@ -89,3 +89,12 @@ def test_empty_tables_and_extra_columns(spark):
     assert [r.predicted for r in toxicity.score(docs, labels.limit(0)).collect()] == [0, 0]
     assert toxicity.score(docs.limit(0), labels).count() == 0
     assert sorted(r.doc_id for r in toxicity.drop_toxic(docs, labels.limit(0)).collect()) == [1, 2]
+
+
+def test_the_sample_holds_what_the_bounds_allow(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(pu, "fit", lambda p, u, prior, **settings: taken.append((len(p), len(u))))
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "'a' AS text")
+    labels = spark.range(20_000).selectExpr("id AS doc_id", "CAST(id % 3 = 0 AS int) AS toxic")
+    pu.learn(docs, labels, "toxic", lambda text: np.asarray([1], np.int32), 3, 1)
+    assert taken == [(4_000, 12_000)]
