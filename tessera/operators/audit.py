@@ -94,8 +94,8 @@ def to_json(lineage_rows: DataFrame, scorecard_rows: DataFrame) -> DataFrame:
 
 
 def to_html(scorecard_rows: DataFrame, lineage_rows: DataFrame, limit: int = 1000) -> str:
-    """A report page that refers to nothing outside itself: the scorecard, and the first golden records by key as a
-    page holds them (``limit``; the JSON export has all).
+    """A report page that refers to nothing outside itself: the whole scorecard, and the first golden records by key as
+    a page holds them (``limit``; the JSON export has all).  The page says how many it leaves out.
     """
     colours = {"RED": "#c0392b", "AMBER": "#d68910", "GREEN": "#1e8449"}
 
@@ -108,7 +108,9 @@ def to_html(scorecard_rows: DataFrame, lineage_rows: DataFrame, limit: int = 100
         return f"<table><tr>{head}</tr>{''.join(lines)}</table>"
 
     first = lineage_rows.orderBy("business_date", "instrument_id", "field").limit(limit)
-    return f"<!doctype html><html><head><meta charset='utf-8'><title>Run report</title></head><body><h1>Scorecard</h1>{body(scorecard_rows.orderBy('business_date', 'source_id').limit(limit))}<h1>Golden records</h1>{body(first)}</body></html>"
+    left_out = max(lineage_rows.count() - limit, 0)
+    note = f"<p>{left_out} more golden records are left out here.</p>" if left_out else ""
+    return f"<!doctype html><html><head><meta charset='utf-8'><title>Run report</title></head><body><h1>Scorecard</h1>{body(scorecard_rows.orderBy('business_date', 'source_id'))}<h1>Golden records</h1>{body(first)}{note}</body></html>"
 
 
 def number_of_sources(reported: DataFrame, run: str, source: str, enabled: int) -> DataFrame:

@@ -284,3 +284,12 @@ def test_settings():
     assert own.voters == ("x",) and own.reconciliation.tolerances["CLOSE"] == C.Tolerance("absolute", 1.0) and own.anomaly.window_days == 5
     with pytest.raises(ValueError):
         C.load({"anomaly": {"windows": 5}})
+
+
+def test_the_page_holds_the_whole_scorecard_and_names_what_it_leaves_out(spark):
+    card = spark.range(5).selectExpr("'2024-01-02' AS business_date", "concat('s', id) AS source_id", "'GREEN' AS overall_status")
+    lineage = spark.range(5).selectExpr("'2024-01-02' AS business_date", "concat('i', id) AS instrument_id", "'close' AS field")
+    page = audit.to_html(card, lineage, limit=2)
+    assert all(f"<td>s{k}</td>" in page for k in range(5))
+    assert page.count("<td>close</td>") == 2 and "3 more golden records are left out" in page
+    assert "left out" not in audit.to_html(card, lineage, limit=5)
