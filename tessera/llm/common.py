@@ -3,26 +3,26 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of one Arrow batch: a worker holds so many whole texts at once, not Spark's usual 10,000.
-BATCH_ROWS = 512
-#: The same where a row is a few numbers.
-NUMBER_ROWS = 65_536
+#: Bytes of texts that an operator is handed at once, or one row that is longer.
+PIECE_BYTES = 1_000_000
 
 #: Rows of ids that may be broadcast to pick texts; with more the texts are shuffled.
 BROADCAST_IDS = 500_000
 
-_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _DIR_KEY = "spark.checkpoint.dir"
 
 
@@ -44,38 +44,88 @@ def ship(spark: SparkSession) -> None:
         context.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
 
 
-def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, rows: int = BATCH_ROWS) -> DataFrame:
-    """``mapInArrow`` with ``rows`` rows a batch, so that a worker's memory follows the texts and not Spark's setting.
-
-    The setting is the session's and is read when the plan runs: run or store one plan before making the next.
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in order, in batches of ``PIECE_BYTES`` of texts or one longer row; none of them is empty."""
+    for batch in batches:
+        if batch.nbytes <= PIECE_BYTES:
+            if batch.num_rows:
+                yield batch
+            continue
+        lengths = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                lengths += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(lengths), 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE_BYTES, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """``mapInArrow`` over ``pieces``, so that a worker's memory follows the bytes of texts and not the number of rows.
+
+    Spark itself ends a batch at ``spark.sql.execution.arrow.maxBytesPerBatch`` (64 MB unless set); no setting is changed.
     """
     ship(df.sparkSession)
-    df.sparkSession.conf.set(_BATCH_KEY, str(rows))
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(lambda batches: function(pieces(batches)), schema)
 
 
 _own_dirs: dict[str, str] = {}
+_scratch: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor and the driver see: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    """The folder that every executor and the driver see: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master gets a folder of its own, gone at the end; any other master is an error, as
+    executors on other machines would each write to their own disk.
+    """
     folder = spark.conf.get(_DIR_KEY, None)
     if not folder:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"set {_DIR_KEY} to a folder that all executors share: the master is {master}")
         application = spark.sparkContext.applicationId
-        folder = _own_dirs.get(application) or _own_dirs.setdefault(application, tempfile.mkdtemp(prefix="tessera-"))
+        folder = _own_dirs.get(application)
+        if folder is None:
+            folder = _own_dirs[application] = tempfile.mkdtemp(prefix="tessera-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return folder.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """This application's folder for stored tables; the driver's JVM deletes it when it ends."""
+    application = spark.sparkContext.applicationId
+    path = f"{shared_dir(spark)}/tessera/{application}"
+    if _scratch.get(application) != path:
+        _scratch[application] = path
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder as Parquet and read it back.
 
     A lost executor then costs a re-read, not a recomputation, and the reader sees true sizes for its join choices.
     """
-    path = f"{shared_dir(df.sparkSession)}/tessera/{uuid.uuid4().hex}"
+    path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a ``stored`` table that no plan reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/tessera/" in folder:
+            place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def text_bytes(column: str = "text") -> Column:
     """UTF-8 bytes of a text; null stays null."""
     return F.col(column).cast("string").cast("binary").alias("_text")

@@ -112,7 +112,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             rows, keys = anchors(fps.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[rows])], names=["anchor", "fp"])
 
-    placed = common.stored(common.map_arrow(distinct.select("fp"), replicate, "anchor long, fp long", common.NUMBER_ROWS // 8))
+    placed = common.stored(common.map_arrow(distinct.select("fp"), replicate, "anchor long, fp long"))
     crowded = placed.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     split = placed.join(crowded, "anchor").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     pairs = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(F.col("own"), j) * F.col("blocks") + F.greatest(F.col("own"), j)))
@@ -130,7 +130,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         if rest is not None:
             yield _compared(rest, _starts(rest), max_bits)
 
-    return common.stored(common.map_arrow(sorted_, compare, "a long, b long", common.NUMBER_ROWS))
+    return common.stored(common.map_arrow(sorted_, compare, "a long, b long"))
 
 
 def _starts(rows: np.ndarray) -> np.ndarray:
