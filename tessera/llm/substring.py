@@ -1,18 +1,23 @@
-"""Exact substring deduplication with one compressed FM-index per shard.
+"""Exact substring deduplication with compressed FM-indexes.
 
 Windows of ``window`` consecutive words that also start in a document with a smaller ``doc_id`` are found in steps:
 
-1. Every document is cut into segments: maximal runs of windows with the same minimizer (the least hash of the word
-   grams of half a window).  Equal windows have equal minimizers, so they lie in segments with the same minimizer.
-2. Segments whose minimizer no second document has cannot hold such a window and go no further.  Of segments with the
-   same words, one stands for all: the one of the smallest document.
-3. Segments are dealt to shards by minimizer.  A shard sorts its suffixes, keeps the Burrows-Wheeler transform in a
-   wavelet matrix of packed bits, and streams its segments right to left: backward search lengthens the match by a
-   word, the parent interval drops its last word once it is ``window`` long.  An interval that holds a suffix of a
-   smaller document reports the window.
-
-A minimizer with very many different segments is split over pairs of blocks, so a shard stays bounded and no pair of
-segments is lost.  Words are compared by 64-bit hashes.
+1. Every document is cut into segments: runs of windows with the same minimizer (the least hash of the word grams of
+   half a window).  Equal windows have equal minimizers, so they lie in segments with the same minimizer.
+2. Segments whose minimizer no second document has cannot hold such a window and go no further.  Segments with the
+   same words form a class; the one of the smallest document stands for it, and one other for all its copies.
+3. Classes are dealt to shards by minimizer, by words, so that a shard is bounded.  The documents of a minimizer are
+   ranked; for each binary digit of the ranks, a shard indexes the segments with a 0 there and streams those with a 1
+   whose higher digits agree.  So any two documents meet once, the smaller in the index, the larger as a query, and
+   nothing is searched for in an index that holds it.
+4. An index is the Burrows-Wheeler transform in a wavelet matrix of packed bits and a byte a symbol of common prefix
+   lengths; suffix order and ranks are dropped.  Backward search gives the matching statistics of a streamed segment:
+   the match grows by the word before it, or falls back to the parent interval.  Where it is ``window`` long, the
+   window is reported.  Nothing else decides.
+
+A minimizer with very many words is split over pairs of blocks, so that no pair of segments is lost.  Words are
+compared by 64-bit hashes: a false report needs ``window`` collisions in a row, two unlike texts in one class a
+collision of 128 bits.
 """
 
 from __future__ import annotations
@@ -30,8 +35,10 @@ from pyspark.sql import types as T
 from tessera.llm import common
 
 WINDOW = 50
-#: Segments of one shard; also the segments of one minimizer above which it is split into blocks.
-SHARD_SEGMENTS = 8_192
+#: Words of one shard, about; also the words of one minimizer above which it is split into blocks.
+SHARD_WORDS = 300_000
+#: Windows of one segment; a longer run of windows with one minimizer makes several.
+SEGMENT_WINDOWS = 512
 
 _LAST = 2**63 - 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -81,50 +88,63 @@ def segments(hashes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]
     least = _sliding_min(grams, window - gram + 1)
     first = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
     last = np.append(first[1:], n - window + 1) - 1
+    parts = (last - first) // SEGMENT_WINDOWS + 1
+    if parts.max() > 1:
+        nth = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+        first, ends = np.repeat(first, parts) + nth * SEGMENT_WINDOWS, np.repeat(last, parts)
+        last = np.minimum(ends, first + SEGMENT_WINDOWS - 1)
     content = _mixed((sums[last + window] - sums[first]) * up[first] + (last - first).astype(np.uint64))
     return least[first].view(np.int64), content.view(np.int64), first, last
 
 
 class FMIndex:
-    """Burrows-Wheeler transform of a text of small numbers, in a wavelet matrix of packed bits.
+    """Rows of numbers, each closed by a separator, for backward search of matches up to ``depth`` symbols, 255 at most.
 
-    Suffixes are sorted by their first ``depth`` symbols, which is all that backward search to ``depth`` needs.
+    Kept are a wavelet matrix of the Burrows-Wheeler transform (packed bits with a count every 64) and, in a byte a
+    symbol, how much each suffix shares with the one before it, with the least of every 64, of every 64 of these and
+    so on.  Suffixes are sorted by their first ``depth`` symbols or more, which is all that such a search needs.
     """
 
-    def __init__(self, text: np.ndarray, window: int):
-        ranks, span = text.astype(np.int64), 1
-        while span < window:
-            if span < window <= 2 * span + 1:
-                half, half_span = ranks, span
-            ranks = np.unique(ranks * (int(ranks.max()) + 2) + self._later(ranks, span), return_inverse=True)[1]
+    def __init__(self, rows: list[np.ndarray], depth: int):
+        self.depth = depth
+        lengths = np.asarray([len(r) for r in rows])
+        text = np.zeros(int(lengths.sum()) + len(rows), np.int32)  # symbol 0 separates
+        inside = np.ones(len(text), bool)
+        inside[np.cumsum(lengths + 1) - 1] = False
+        self.alphabet, symbols = np.unique(np.concatenate(rows), return_inverse=True)
+        text[inside] = symbols + 1
+        self.size, width = len(text), len(self.alphabet) + 1
+        ranks, span = [text], 1
+        while span < depth:
+            now = ranks[-1].astype(np.int64)
+            later = np.zeros_like(now)
+            later[: max(0, self.size - span)] = now[span:] + 1
+            ranks.append(np.unique(now * (int(now.max()) + 2) + later, return_inverse=True)[1].astype(np.int32))
             span *= 2
-        self.order = np.argsort(ranks, kind="stable")
-        del ranks
-        self.parents, self.parent_starts = self._groups(half, half_span, window - 1)
-        self.leaves, self.leaf_starts = self._groups(half, half_span, window)
-        self.symbols = int(text.max()) + 1
-        self.counts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=self.symbols))])
-        row, self.levels = text[self.order - 1], []
-        for level in range(max(1, (self.symbols - 1).bit_length()) - 1, -1, -1):
+        order = np.argsort(ranks[-1], kind="stable").astype(np.int32)
+        shared, a, b = np.zeros(self.size - 1, np.int32), order[:-1].astype(np.int64), order[1:].astype(np.int64)
+        for rank in reversed(ranks):
+            inner = (a < self.size) & (b < self.size)
+            same = np.zeros(len(a), bool)
+            same[inner] = rank[a[inner]] == rank[b[inner]]
+            shared, a, b = shared + same * span, a + same * span, b + same * span
+            span //= 2
+        del ranks, a, b
+        common = np.zeros(-(-(self.size + 1) // 64) * 64, np.uint8)  # before the first suffix and after the last: nothing
+        common[1 : self.size] = np.minimum(shared, depth)
+        self.common = [common.reshape(-1, 64)]
+        while len(self.common[-1]) > 1:
+            least = self.common[-1].min(axis=1)
+            self.common.append(np.append(least, np.zeros(-len(least) % 64, np.uint8)).reshape(-1, 64))
+        self.counts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=width))])
+        row, self.levels = text[order - 1], []
+        for level in range(max(1, (width - 1).bit_length()) - 1, -1, -1):
             bits = (row >> level) & 1
             packed = np.packbits(np.append(bits, np.zeros(64 - len(bits) % 64, bits.dtype)).astype(np.uint8), bitorder="little").view("<u8")
-            ones = np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)])
+            ones = np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int32)]).astype(np.int32)
             self.levels.append((level, packed, ones, len(bits) - int(bits.sum())))
             row = np.concatenate([row[bits == 0], row[bits == 1]])
-        self.firsts = self._down(np.zeros(self.symbols, np.int64), np.arange(self.symbols))
-
-    @staticmethod
-    def _later(ranks: np.ndarray, by: int) -> np.ndarray:
-        out = np.zeros_like(ranks)
-        out[: max(0, len(ranks) - by)] = ranks[by:] + 1
-        return out
-
-    def _groups(self, half: np.ndarray, span: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Number of the group of suffixes with the same first ``depth`` symbols, and the groups' bounds."""
-        span = min(span, depth)
-        a, b = half[self.order], self._later(half, depth - span)[self.order] if depth > span else half[self.order]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        return np.cumsum(new) - 1, np.append(np.flatnonzero(new), len(new))
+        self.firsts = self._down(np.zeros(width, np.int64), np.arange(width))
 
     def _down(self, at: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         for level, packed, ones, zeros in self.levels:
@@ -134,49 +154,116 @@ class FMIndex:
         return at
 
     def step(self, low: np.ndarray, high: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Intervals of the matches with ``symbol`` put before them."""
+        """Intervals of the matches with ``symbol`` put before them; empty where the index has none."""
         base = self.counts[symbol] - self.firsts[symbol]
-        return base + self._down(low, symbol), base + self._down(high, symbol)
-
-    def parent(self, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Interval of the first ``window - 1`` symbols of the match that begins at ``low``."""
-        group = self.parents[low]
-        return self.parent_starts[group], self.parent_starts[group + 1]
-
-
-def repeated(rows: list[np.ndarray], owners: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int]]:
-    """``(row, start, end)`` of the words of ``rows`` under a window that a row of a smaller owner has too."""
-    lengths = np.asarray([len(r) for r in rows])
-    ends = np.cumsum(lengths + 1) - 1  # of each row's separator, symbol 0
-    text = np.zeros(int(ends[-1]) + 1, np.int64)
-    inside = np.ones(len(text), bool)
-    inside[ends] = False
-    text[inside] = np.unique(np.concatenate(rows), return_inverse=True)[1] + 1
-    index = FMIndex(text, window)
-    least = np.minimum.reduceat(np.repeat(owners, lengths + 1)[index.order], index.leaf_starts[:-1])
-    by_length = np.argsort(-lengths, kind="stable")
-    falling = -lengths[by_length]
-    low, high = np.zeros(len(rows), np.int64), np.full(len(rows), len(text))
-    hits_row, hits_at = [], []
-    for back in range(1, int(lengths.max()) + 1):
-        active = by_length[: np.searchsorted(falling, -back, side="right")]
-        a, b = low[active], high[active]
-        if back > window:
-            a, b = index.parent(a)
-        a, b = index.step(a, b, text[ends[active] - back])
-        low[active], high[active] = a, b
-        if back >= window:
-            found = active[least[index.leaves[a]] < owners[active]]
-            hits_row.append(found)
-            hits_at.append(lengths[found] - back)
-    if not hits_row:
-        return []
+        both = self._down(np.concatenate([low, high]), np.concatenate([symbol, symbol])).reshape(2, -1) + base
+        return both[0], both[1]
+
+    def shortened(self, low: np.ndarray, high: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Intervals of the first ``size`` symbols of the matches."""
+        low, high = np.where(size > 0, low, 0), np.where(size > 0, high, self.size)
+        some = np.flatnonzero(size)
+        low[some], high[some] = self._seek(low[some], size[some], -1), self._seek(high[some], size[some], 1)
+        return low, high
+
+    def parent(self, low: np.ndarray, high: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Intervals and lengths of the longest shorter prefixes of the matches of ``size`` that occur in more places."""
+        size = np.minimum(size - 1, np.maximum(self.common[0].ravel()[low], self.common[0].ravel()[high]))
+        return *self.shortened(low, high, size), size
+
+    def _seek(self, at: np.ndarray, below: np.ndarray, way: int) -> np.ndarray:
+        """The nearest place from ``at`` on, backward or forward, where less than ``below`` is shared."""
+        place, height, todo = at.copy(), np.zeros(len(at), np.int64), np.arange(len(at))
+        offsets = np.arange(64)
+        pick = (lambda good: 63 - good[:, ::-1].argmax(axis=1)) if way < 0 else (lambda good: good.argmax(axis=1))
+        for level, table in enumerate(self.common):
+            good = table[place[todo] >> 6] < below[todo, None]
+            good &= (offsets <= (place[todo] & 63)[:, None]) if way < 0 else (offsets >= (place[todo] & 63)[:, None])
+            found = good.any(axis=1)
+            hit = todo[found]
+            place[hit], height[hit] = (place[hit] & ~63) | pick(good[found]), level
+            todo = todo[~found]
+            if not len(todo):
+                break
+            place[todo] = (place[todo] >> 6) + way
+        for level in range(int(height.max(initial=0)), 0, -1):
+            lanes = np.flatnonzero(height >= level)
+            place[lanes] = place[lanes] * 64 + pick(self.common[level - 1][place[lanes]] < below[lanes, None])
+        return place
+
+    def matches(self, queries: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Query and place of every run of ``depth`` symbols of the ``queries`` that a row has.
+
+        All queries advance together from their ends.  A query stops where too few symbols are left for such a run.
+        """
+        lengths = np.asarray([len(q) for q in queries])
+        begins = np.cumsum(lengths) - lengths
+        flat = np.concatenate(queries)
+        symbol = np.searchsorted(self.alphabet, flat)
+        symbol = np.where(self.alphabet[np.minimum(symbol, len(self.alphabet) - 1)] == flat, symbol + 1, 0)
+        lane = np.flatnonzero(lengths >= self.depth)
+        at = lengths[lane] - 1  # the symbol to put before the match, and the match's interval and length
+        low, high, size = np.zeros(len(lane), np.int64), np.full(len(lane), self.size), np.zeros(len(lane), np.int64)
+        rows, places = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        while len(lane):
+            full = np.flatnonzero(size == self.depth)
+            if len(full):
+                rows.append(lane[full])
+                places.append(at[full] + 1)
+            live = np.flatnonzero((at >= 0) & (at + 1 + size >= self.depth))
+            lane, at, low, high, size = lane[live], at[live], low[live], high[live], size[live]
+            if not len(lane):
+                break
+            full = np.flatnonzero(size == self.depth)
+            if len(full):  # make room for one more symbol
+                size[full] -= 1
+                low[full], high[full] = self.shortened(low[full], high[full], size[full])
+            next_ = symbol[begins[lane] + at]
+            a, b = self.step(low, high, next_)
+            good = (next_ > 0) & (b > a)
+            low[good], high[good] = a[good], b[good]
+            size += good
+            at -= good
+            unknown = (next_ == 0) | (~good & (size == 0))
+            low[unknown], high[unknown], size[unknown] = 0, self.size, 0
+            at -= unknown
+            short = np.flatnonzero(~good & ~unknown)
+            if len(short):
+                low[short], high[short], size[short] = self.parent(low[short], high[short], size[short])
+        return np.concatenate(rows), np.concatenate(places)
+
+
+def repeated(rows: list[np.ndarray], groups: np.ndarray, owners: np.ndarray, copies: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int]]:
+    """``(row, start, end)`` of the words of ``rows`` under a window that a row of the same group and a smaller owner has too.
+
+    Rows marked as ``copies`` are searched for and not indexed: their words stand in a row of a smaller owner.
+    """
+    order = np.lexsort((owners, groups))
+    new = np.concatenate([[True], groups[order][1:] != groups[order][:-1]])
+    step = np.concatenate([[False], (owners[order][1:] != owners[order][:-1]) & ~new[1:]]).cumsum()
+    rank = np.empty(len(rows), np.int64)
+    rank[order] = step - step[np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))]
+    name = np.unique(groups, return_inverse=True)[1]
+    hits_row, hits_at = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for digit in range(int(rank.max()).bit_length()):
+        prefix, upper = rank >> (digit + 1), (rank >> digit) & 1 == 1
+        pair = np.unique(np.column_stack([name, prefix]), axis=0, return_inverse=True)[1].ravel()
+        asked = np.bincount(pair, weights=upper, minlength=len(rows)) > 0
+        index_rows, query_rows = np.flatnonzero(~upper & ~copies & asked[pair]), np.flatnonzero(upper)
+        if not len(index_rows):
+            continue
+        # Words of rows with unlike higher digits are told apart, so that only smaller owners can match.
+        salt = _mixed(prefix.astype(np.uint64) * _BASE)
+        index = FMIndex([rows[i] ^ salt[i] for i in index_rows], window)
+        found, at = index.matches([rows[i] ^ salt[i] for i in query_rows])
+        hits_row.append(query_rows[found])
+        hits_at.append(at)
     row, at = np.concatenate(hits_row), np.concatenate(hits_at)
     order = np.lexsort((at, row))
     row, at = row[order], at[order]
     if not len(row):
         return []
-    new = np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)])
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] > at[:-1] + 1)])
     starts = np.flatnonzero(new)
     stops = np.append(starts[1:], len(row)) - 1
     return [(int(row[s]), int(at[s]), int(at[e]) + window) for s, e in zip(starts, stops)]
@@ -217,46 +304,53 @@ def duplicate_spans(docs: DataFrame, cut: DataFrame, window: int = WINDOW) -> Da
     # Stored, so that both sides of the join are plain exchanges, of which a hot minimizer's can be split.
     shared = common.stored(parts.groupBy("m").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).filter("lo < hi").select("m"))
     kept = common.stored(parts.join(shared, "m"))
-    contents = common.stored(kept.groupBy("m", "c").agg(F.min(F.struct("d", "h", "first", "last")).alias("r")).select("m", "c", "r.*"))
+    # Of each class the segment of the smallest document, and the largest document, which stands for all its copies.
+    contents = common.stored(kept.groupBy("m", "c").agg(F.min(F.struct("d", "h", "first", "last")).alias("r"), F.max("d").alias("most")).select("m", "c", "r.*", "most"))
 
-    wanted = common.stored(contents.groupBy("d", "h").agg(F.collect_list(F.struct("m", "c", "first", "last")).alias("cuts")))
+    wanted = common.stored(contents.groupBy("d", "h").agg(F.collect_list(F.struct("m", "c", "first", "last", "most")).alias("cuts")))
     fetched = _texts_of(docs, wanted).join(wanted, ["d", "h"]).dropDuplicates(["d", "h"]).select("d", "_text", "cuts")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m, c, d, words = [], [], [], []
+            m, c, d, most, words = [], [], [], [], []
             for doc, text, cuts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 hashes = word_hashes((text or b"").split())
                 for s in cuts:
                     m.append(s["m"])
                     c.append(s["c"])
                     d.append(doc)
+                    most.append(s["most"])
                     words.append(hashes[s["first"] : s["last"] + window].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.int64()), pa.array(words, pa.binary())], names=["m", "c", "d", "words"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (m, c, d, most)), pa.array(words, pa.binary())], names=["m", "c", "d", "most", "words"])
 
-    shards = max(1, -(-contents.count() // SHARD_SEGMENTS))
+    size = F.col("last") - F.col("first") + window
+    shards = max(1, -(-(contents.agg(F.sum(size)).first()[0] or 0) // SHARD_WORDS))
     # Stored, so that its true size is known: as a rule it is tiny, and the segments' words are not shuffled to meet it.
-    hot = common.stored(contents.groupBy("m").agg(F.count("*").alias("n")).filter(F.col("n") > SHARD_SEGMENTS).select("m", F.ceil(F.col("n") * 2 / SHARD_SEGMENTS).cast("int").alias("blocks")))
+    hot = common.stored(contents.groupBy("m").agg(F.sum(size).alias("n")).filter(F.col("n") > SHARD_WORDS).select("m", F.ceil(F.col("n") * 2 / SHARD_WORDS).cast("int").alias("blocks")))
     own = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64(F.col("m"), F.least(F.col("own"), j), F.greatest(F.col("own"), j)))
     dealt = (
-        common.map_arrow(fetched, extract, "m long, c long, d long, words binary")
+        common.map_arrow(fetched, extract, "m long, c long, d long, most long, words binary")
         .join(hot, "m", "left").withColumn("own", own)
         .withColumn("shard", F.explode(F.when(F.col("blocks").isNull(), F.array(F.pmod(F.xxhash64("m"), F.lit(shards)))).otherwise(pairs)))
-        .select("shard", "m", "c", "d", "words")
+        .select("shard", "m", "c", "d", "most", "words")
     )
 
     def search(group: pa.Table) -> pa.Table:
-        m, c = (group.column(n).to_numpy() for n in ("m", "c"))
-        found = repeated([np.frombuffer(w, "<u8") for w in group.column("words").to_pylist()], group.column("d").to_numpy(), window)
+        m, c, d, most = (group.column(n).to_numpy() for n in ("m", "c", "d", "most"))
+        rows = [np.frombuffer(w, "<u8") for w in group.column("words").to_pylist()]
+        copied = np.flatnonzero(most > d)
+        mine = np.concatenate([np.arange(len(rows)), copied])
+        copies = np.arange(len(mine)) >= len(rows)
+        found = repeated([rows[i] for i in mine], m[mine], np.concatenate([d, most[copied]]), copies, window)
         row, start, end = (np.asarray([f[i] for f in found], dtype=np.int64) for i in range(3))
-        return pa.table({"m": m[row], "c": c[row], "s": start, "e": end})
+        at = mine[row]
+        return pa.table({"m": m[at], "c": c[at], "least": d[at], "copy": copies[row], "s": start, "e": end})
 
-    found = common.stored(dealt.groupBy("shard").applyInArrow(search, "m long, c long, s long, e long"))
-    placed = kept.join(contents.select("m", "c", F.col("d").alias("least")), ["m", "c"])
-    copies = placed.filter("d > least").select("d", "h", F.struct(F.col("first").cast("long").alias("s"), (F.col("last") + window).cast("long").alias("e")).alias("span"))
-    firsts = placed.filter("d = least").join(found, ["m", "c"]).select("d", "h", F.struct((F.col("first") + F.col("s")).alias("s"), (F.col("first") + F.col("e")).alias("e")).alias("span"))
-    return copies.unionByName(firsts).groupBy("d", "h").agg(F.collect_set("span").alias("spans"))
+    found = common.stored(dealt.groupBy("shard").applyInArrow(search, "m long, c long, least long, copy boolean, s long, e long"))
+    # What holds for the first document of a class is found by its own row, what holds for any later one by that of its copies.
+    placed = kept.join(found, ["m", "c"]).filter((F.col("d") > F.col("least")) == F.col("copy"))
+    return placed.select("d", "h", F.struct((F.col("first") + F.col("s")).alias("s"), (F.col("first") + F.col("e")).alias("e")).alias("span")).groupBy("d", "h").agg(F.collect_set("span").alias("spans"))
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, texts: bool = True) -> DataFrame:
