@@ -1,8 +1,9 @@
 """Greedy string tiling against a naive version; planted, edited and reordered passages."""
 
 import random
+import time
+import tracemalloc
 
-import numpy as np
 import pytest
 
 from tessera.llm import decontaminate as dc
@@ -26,17 +27,61 @@ def _naive(item, doc, least):
         used_doc.update(range(p, p + k))
 
 
-def test_tiles_equal_the_naive_ones():
-    rng = random.Random(4)
+@pytest.mark.parametrize("pairs", [20_000, 3, 0])  # with 0 all tiles come from the ranks
+def test_tiles_equal_the_naive_ones(monkeypatch, pairs):
+    monkeypatch.setattr(dc, "PAIRS_OF_ITEM", pairs)
+    rng, marks = random.Random(4), 0
     for least in (1, 2, 3, 5):
-        for _ in range(120):
-            item = [f"t{rng.randrange(3)}" for _ in range(rng.randint(0, 14))]
+        for _ in range(100):
+            items = [[f"t{rng.randrange(rng.choice([2, 3, 9]))}" for _ in range(rng.randint(0, 14))] for _ in range(rng.randint(1, 4))]
             doc = [f"t{rng.randrange(4)}" for _ in range(rng.randint(0, 25))]
-            index = dc.Index.build([(1, " ".join(item))], least)
-            ids = np.asarray([index.vocabulary.get(w, 0) for w in doc], dtype=np.uint64)
-            seeds = index.seeds(ids)
-            found = dc.tiles(index.items[0], ids, seeds[0], least) if seeds else []
-            assert found == _naive(item, doc, least)
+            index = dc.Index.build([(k, " ".join(i)) for k, i in enumerate(items)], least)
+            found = {i: m for i, _, m in index.covered(" ".join(doc), 0.01)}
+            for k, item in enumerate(items):
+                expected = _naive(item, doc, min(least, len(item))) if item else []
+                assert found.get(k, []) == expected
+                marks += len(expected)
+    assert marks > 500
+
+
+def test_items_that_cannot_be_covered_enough_are_not_tiled(monkeypatch):
+    rng = random.Random(6)
+    for _ in range(60):
+        items = [[f"t{rng.randrange(5)}" for _ in range(rng.randint(1, 20))] for _ in range(6)]
+        doc = " ".join(f"t{rng.randrange(6)}" for _ in range(rng.randint(0, 60)))
+        index = dc.Index.build([(k, " ".join(i)) for k, i in enumerate(items)], 3)
+        every = {i: (c, m) for i, c, m in index.covered(doc, 0.0)}
+        for least in (0.3, 0.5, 1.0):
+            assert {i: (c, m) for i, c, m in index.covered(doc, least)} == {i: x for i, x in every.items() if x[0] >= least}
+
+
+def test_a_phrase_of_very_many_items_and_endless_repetition():
+    rng = random.Random(7)
+    phrase = _words(rng, 15)
+    index = dc.Index.build([(i, " ".join([*_words(rng, 20), *phrase])) for i in range(20_000)])
+    began = time.perf_counter()
+    assert list(index.covered(" ".join(phrase), 0.5)) == []
+    assert time.perf_counter() - began < 0.5
+    repeated = dc.Index.build([(0, "x " * 300), (1, "x y " * 150)])
+    tracemalloc.start()
+    assert [(i, c) for i, c, _ in repeated.covered("x " * 200_000, 0.5)] == [(0, 1.0)]
+    assert tracemalloc.get_traced_memory()[1] < 200_000_000
+    tracemalloc.stop()
+
+
+def test_short_items_match_as_a_whole():
+    index = dc.Index.build([(1, "Paris"), (2, "the grey cat"), (3, ""), (4, None), (5, "one two three four five six")])
+    assert [i for i, _, _ in index.covered("A grey cat; the grey dog", 0.5)] == []
+    assert sorted(i for i, _, _ in index.covered("paris: The grey cat", 0.5)) == [1, 2]
+    assert list(index.covered("one two three four", 0.5)) == []
+
+
+def test_ties_go_to_the_smallest_id(spark):
+    text = "a b c d e f g h"
+    benchmark = spark.createDataFrame([(7, text), (3, "z " + text + " y"), (5, text), (5, text)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so " + text + " it is")], "doc_id long, text string")
+    row = dc.judge(docs, benchmark).first()
+    assert (row.item_id, row.n_items, row.coverage) == (5, 3, 1.0)
 
 
 def _words(rng, n):
@@ -63,7 +108,7 @@ def test_planted_passages(spark, monkeypatch, block):
         text = " ".join(body[:at] + passage + body[at:])
         rows.append((d, text.upper() + "!" if d % 2 else text.replace(" ", ", "), 1.5))
         expected[d] = i if kind in (1, 2) else None
-    rows += [(300, None, 0.0), (301, "", 0.0), (None, "x y", 0.0), (0, "repeated row", 0.0)]
+    rows += [(302, " ".join(_words(rng, 150_000)), 0.0), (300, None, 0.0), (301, "", 0.0), (None, "x y", 0.0), (0, "repeated row", 0.0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, coverage double")
     benchmark = spark.createDataFrame([(i, " ".join(w), 0) for i, w in items] + [(99, None, 0), (98, "too short here", 0)], "item_id int, text string, doc_id int")
     found = dc.judge(docs, benchmark).collect()
