@@ -24,8 +24,9 @@ def components(edges: DataFrame) -> DataFrame:
         settled = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
         if before == settled:
             break
-        before = settled
-        now = common.stored(_star(_large_star(now)))
+        before, last = settled, now
+        now = common.stored(_star(_large_star(last)))
+        common.discard(last)
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))

@@ -9,13 +9,13 @@ Fingerprints are compared anchor by anchor over all 64 bits.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,10 +38,14 @@ def fingerprint(text: bytes | None, words: int = SHINGLE_WORDS) -> int:
         return 0
     n = max(1, len(tokens) - words + 1)
     shingles = map(b" ".join, zip(*(tokens[k:] for k in range(words)))) if len(tokens) >= words else [b" ".join(tokens)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype="<u8", count=n)
-    lanes = hashes.view(np.uint8).reshape(n, 8).astype(np.int64) + np.arange(8) * 256
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype="<u8", count=n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are set in over half the ``hashes``; 0 without any."""
+    lanes = hashes.astype("<u8", copy=False).view(np.uint8).reshape(len(hashes), 8).astype(np.int64) + np.arange(8) * 256
     ones = (np.bincount(lanes.ravel(), minlength=2048).reshape(8, 256) @ _BITS).ravel()
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -162,39 +166,63 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int =
     """
     prints = common.stored(fingerprints(docs, words))
     nodes = common.stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    return named(prints, nodes, links(nodes, max_bits), "fp")
-
-
-def named(prints: DataFrame, nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    """``(doc_id, key, component_id)`` for every row of ``prints (doc_id, key)``, with ``nodes (key, least)`` linked by ``edges (a, b)``."""
-    roots = common.stored(graph.components(edges).select(F.col("node").alias(key), "root"))
-    linked = roots.join(nodes, key)
+    roots = common.stored(graph.components(links(nodes, max_bits)).select(F.col("node").alias("fp"), "root"))
+    linked = roots.join(nodes, "fp")
     least = linked.groupBy("root").agg(F.min("least").alias("reached"))
-    reached = roots.join(least, "root").select(key, "reached")
+    reached = roots.join(least, "root").select("fp", "reached")
     # Stored, so that both sides of the last join are plain exchanges, of which a hot fingerprint's can be split.
-    classes = common.stored(nodes.join(reached, key, "left").select(key, F.coalesce("reached", "least").alias("component_id")))
-    return prints.join(classes, key).select("doc_id", key, "component_id")
+    classes = common.stored(nodes.join(reached, "fp", "left").select("fp", F.coalesce("reached", "least").alias("component_id")))
+    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` names its component: one document of each group stays, all columns unchanged.
+    """One row of each component of fingerprints stays, all columns unchanged; see ``elected`` for which."""
+    prints = common.stored(common.map_arrow(_keyed(docs), _fingerprinted(words), "k1 long, k2 long, doc_id long, fp long"))
+    return elected(docs, prints, links(prints.select("fp").distinct(), max_bits), "fp")
 
-    Of rows that repeat that ``doc_id`` one stays.  Rows without a ``doc_id`` cannot name a component and all stay.
-    """
-    return elected(docs, near_duplicates(docs.select("doc_id", "text"), words, max_bits))
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """What tells a row apart, its id, and its text as bytes."""
+    return docs.select(*row_keys(), F.col("doc_id").cast("long"), common.text_bytes())
 
 
-def elected(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``keep_one`` by the components that ``classes (doc_id, component_id)`` gives."""
-    found = classes.filter("doc_id IS NOT NULL")
-    ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("kept"))
-    odd = common.stored(ids.filter("NOT kept OR n > 1"))
-    kept = common.pick(docs, odd.filter("NOT kept").select("doc_id"), ["doc_id"], "left_anti")
-    repeated = odd.filter("kept AND n > 1").select("doc_id")
+def _fingerprinted(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.asarray([fingerprint(t, words) for t in batch.column(3).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found)], names=["k1", "k2", "doc_id", "fp"])
+
+    return run
+
+
+def row_keys() -> tuple[Column, Column]:
+    """128 bits that tell rows of unlike ids or texts apart; null is a value of its own."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id").alias("k1"), F.xxhash64(F.col("text").isNull(), "text").alias("k2")
+
+
+def elected(docs: DataFrame, rows: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """The rows of ``docs`` less all but one of each component of ``key``, linked by ``edges (a, b)``.
+
+    ``rows (k1, k2, doc_id, key)`` has the key of every row of ``docs``.  Each row is judged by its own text: of a
+    component the row of the smallest ``doc_id`` stays, null ones last; of unlike texts with one ``doc_id`` that of
+    the smallest text hash; of rows equal in both the one whose other columns come first.
+    """
+    roots = common.stored(graph.components(edges).select(F.col("node").alias(key), "root"))
+    # One entry for each distinct id and text; copies of a text are met by their key, which AQE can split.
+    distinct = common.stored(rows.groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), F.first(key).alias(key), F.count("*").alias("n")))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k2", "k1")
+    best = distinct.groupBy(key).agg(F.min(order).alias("best")).join(roots, key, "left").withColumn("root", F.coalesce("root", key))
+    first = best.groupBy("root").agg(F.min("best").alias("first"))
+    winners = common.stored(best.join(first, "root").select(key, F.col("first.k1").alias("w1"), F.col("first.k2").alias("w2")))
+    odd = common.stored(distinct.join(winners, key).withColumn("kept", (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2"))).filter("NOT kept OR n > 1").select("k1", "k2", "kept"))
+    keyed = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)), *row_keys())
+    kept = common.pick(keyed, odd.filter("NOT kept").select("k1", "k2"), ["k1", "k2"], "left_anti")
+    columns = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    repeated = odd.filter("kept").select("k1", "k2")
     if repeated.isEmpty():
-        return kept
-    once = common.pick(kept, repeated, ["doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    return common.pick(kept, repeated, ["doc_id"], "left_anti").unionByName(once)
+        return kept.select(*columns)
+    once = common.pick(kept, repeated, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.min(F.struct(*(f"c{i}" for i in range(len(columns))))).alias("r")).select("r.*")
+    return common.pick(kept, repeated, ["k1", "k2"], "left_anti").drop("k1", "k2").unionByName(once).select(*columns)
 
 
 def _query(spark: SparkSession, sf_dir: str) -> DataFrame:

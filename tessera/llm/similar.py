@@ -1,8 +1,11 @@
-"""Near-duplicates by Jaccard similarity of word shingles: MinHash bands propose, whole shingle sets decide.
-
-Texts whose sets share ``k`` of all ``n`` shingles agree in one minimum with probability ``k / n``.  A band is the key of
-``ROWS`` minima; with 32 bands of 4, two sets of similarity 0.8 share none with probability (1 - 0.8^4)^32 = 5e-8, more
-similar ones more rarely.  Whatever shares a band is compared by its whole sets, so that no link is an estimate.
+"""Near-duplicates by similarity of word shingles: SimHash anchors propose, whole shingle sets decide.
+
+Fingerprints of the sets are linked by anchor-point covering as in ``simhash``, and what hangs together is compared.  That
+alone loses links: sets of Jaccard similarity 0.8 have a cosine of 0.89 and differ in 9.7 of 64 bits on average, where
+anchors reach three.  So a second pass proposes more: texts whose sets share ``k`` of all ``n`` shingles agree in one
+minimum with probability ``k / n``; a band is the key of ``ROWS`` minima; with 32 bands of 4, two sets of similarity 0.8
+share none with probability (1 - 0.8^4)^32 = 5e-8, more similar ones more rarely.  Whatever either pass proposes is compared
+by its whole sets, so that no link is an estimate.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm import common, simhash
+from tessera.llm import common, graph, simhash
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -54,23 +57,23 @@ def _print(found: np.ndarray) -> int:
 
 
 def prints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """``(doc_id, body, print, bands)`` for every row: hash of the text, hash of its shingle set as signed long, band keys."""
-    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in ("body", "print")), T.StructField("bands", T.ArrayType(T.LongType()))])
+    """For every row its keys ``k1, k2``, its id, the hash ``print`` of its shingle set, the set's fingerprint ``fp`` and band keys."""
+    schema = T.StructType([*(T.StructField(n, T.LongType()) for n in ("k1", "k2", "doc_id", "print", "fp")), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, words) for t in batch.column(2).to_pylist()]
+            sets = [shingles(t, words) for t in batch.column(3).to_pylist()]
             keys = [bands(s) for s in sets]
-            hashes = np.asarray([_print(s) for s in sets], dtype=np.uint64).view(np.int64)
+            hashes, fps = (np.asarray(x, dtype=np.uint64).view(np.int64) for x in ([_print(s) for s in sets], [simhash.majority(s) for s in sets]))
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = np.concatenate([*keys, np.empty(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hashes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(hashes), pa.array(fps), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=schema.names)
 
-    return common.map_arrow(docs.select(F.col("doc_id"), F.xxhash64("text").alias("body"), common.text_bytes()), run, schema)
+    return common.map_arrow(docs.select(*simhash.row_keys(), F.col("doc_id").cast("long"), common.text_bytes()), run, schema)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``(print, ids)``, the shingle sets as bytes, of the texts whose hash ``wanted (body)`` names."""
+    """``(print, ids)``, the shingle sets as bytes, of the texts whose hash ``wanted (k2)`` names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -83,7 +86,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                     fresh[key] = found.tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(np.asarray([*fresh], dtype=np.uint64).view(np.int64)), pa.array([*fresh.values()], pa.binary())], names=["print", "ids"])
 
-    texts = common.pick(docs.select("text", F.xxhash64("text").alias("body")), wanted, ["body"], "left_semi")
+    texts = common.pick(docs.select("text", simhash.row_keys()[1]), wanted, ["k2"], "left_semi")
     return common.map_arrow(texts.select(common.text_bytes()), run, "print long, ids binary").groupBy("print").agg(F.first("ids").alias("ids"))
 
 
@@ -117,16 +120,18 @@ def _stars(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[i
 
 
 def links(docs: DataFrame, nodes: DataFrame, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """Edges ``(a, b)`` between ``nodes (print, body, bands)`` whose components are those of all pairs that share a band and are alike.
+    """Edges ``(a, b)`` between ``nodes (print, k2, fp, bands)`` whose components are those of all pairs that are proposed and alike.
 
-    Bands of the same members are compared once.  A band with over ``BLOCK`` members is split: each member goes to
-    every pair of blocks with its own block, so that none of its pairs is lost.
+    A component of fingerprints is a group like a band.  Groups of the same members are compared once.  One with over
+    ``BLOCK`` members is split: each member goes to every pair of blocks with its own block, so that none of its pairs is lost.
     """
-    placed = common.stored(nodes.select("print", "body", F.explode("bands").alias("band")))
+    near = graph.components(simhash.links(nodes.groupBy("fp").agg(F.count("*").alias("n")))).select(F.col("node").alias("fp"), "root")
+    reached = common.stored(nodes.select("print", "k2", "fp").join(common.stored(near), "fp", "left").select("print", "k2", F.xxhash64(F.lit("fingerprints"), F.coalesce("root", "fp")).alias("band")))
+    placed = common.stored(nodes.select("print", "k2", F.explode("bands").alias("band")).unionByName(reached))
     alike = placed.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("print")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "print")).alias("y")).filter("n > 1")
     crowded = alike.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     members = common.stored(placed.join(crowded, "band"))
-    sets = common.stored(_sets(docs, common.stored(members.select("body").distinct()), words))
+    sets = common.stored(_sets(docs, common.stored(members.select("k2").distinct()), words))
     split = members.withColumn("own", F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int"))
     pairs = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(F.col("own"), j) * F.col("blocks") + F.greatest(F.col("own"), j)))
     dealt = split.select("band", F.explode(pairs).alias("pair"), "print").join(sets, "print").select("band", "pair", "print", "ids")
@@ -151,19 +156,13 @@ def links(docs: DataFrame, nodes: DataFrame, words: int = SHINGLE_WORDS, similar
     return common.stored(common.map_arrow(sorted_, compare, "a long, b long").distinct())
 
 
-def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """``(doc_id, print, component_id)`` for every row of ``docs``.
+def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each group of documents linked by a Jaccard similarity of ``similarity`` or more stays, all columns unchanged.
 
-    ``component_id`` is the smallest ``doc_id`` reachable over links of Jaccard similarity ``similarity`` or more, itself
-    included.  Texts without words (null, empty, blank) are copies of each other.  Repeated and null ids are treated as
-    in ``simhash.near_duplicates``.
+    Texts without words (null, empty, blank) are copies of each other.  Which row stays, and what becomes of null and
+    repeated ids, is as in ``simhash.elected``.  An empty table gives no rows.
     """
     found = common.stored(prints(docs, words))
-    # A text's hash is taken along to find one text of each set again.
-    nodes = common.stored(found.groupBy("print").agg(F.min("doc_id").alias("least"), F.min("body").alias("body"), F.first("bands").alias("bands")))
-    return simhash.named(found.select("doc_id", "print"), nodes.select("print", "least"), links(docs, nodes, words, similarity), "print")
-
-
-def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each group of near-duplicates, all columns unchanged; elected as by ``simhash.keep_one``."""
-    return simhash.elected(docs, near_duplicates(docs.select("doc_id", "text"), words, similarity))
+    # The hash of a text is taken along to find one text of each set again.
+    nodes = common.stored(found.groupBy("print").agg(F.min("k2").alias("k2"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    return simhash.elected(docs, found.select("k1", "k2", "doc_id", "print"), links(docs, nodes, words, similarity), "print")

@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from tessera.llm import minhash, simhash
+from tessera.llm import similar, simhash
 
 
 def _set(text):
@@ -54,7 +54,7 @@ def _corpus(seed, bases, copies):
 
 
 def test_the_stage_equals_all_pairs_of_sets(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", 8)  # so that bands are split, too
+    monkeypatch.setattr(similar, "BLOCK", 8)  # so that bands are split, too
     rows = _corpus(3, 60, [1, 2, 3, 40])
     expected = _kept(rows)
     assert len(expected) < len(rows) - 100
@@ -65,11 +65,35 @@ def test_the_stage_equals_all_pairs_of_sets(spark, monkeypatch):
     assert far  # copies that three bits don't tell
 
 
+def test_each_row_is_judged_by_its_own_text(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(40))
+    rows = [
+        (3, text("a"), "x"), (5, text("a"), "y"), (5, text("b"), "x"),  # 5 has a copy of 3 and a text of its own
+        (7, text("c"), "z"), (7, text("c"), "b"), (7, text("d"), "x"), (8, text("d"), "x"),
+        (None, text("a"), "x"), (None, text("e"), "x"), (None, text("e"), "x"), (None, text("f"), "y"), (9, "", "x"), (10, None, "x"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `k1` string")
+    kept = similar.keep_one(docs)
+    assert kept.schema == docs.schema
+    expected = [(3, text("a"), "x"), (5, text("b"), "x"), (7, text("c"), "b"), (7, text("d"), "x"), (None, text("e"), "x"), (None, text("f"), "y"), (9, "", "x")]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(expected, key=str)
+    assert sorted(map(tuple, simhash.keep_one(docs).collect()), key=str) == sorted(expected, key=str)
+    assert similar.keep_one(docs.limit(0)).count() == 0
+
+
+def test_fingerprints_propose_as_well(spark, monkeypatch):
+    rows = _corpus(5, 30, [1, 2, 5])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(similar, "bands", lambda found: np.empty(0, np.int64))
+    alone = {r.doc_id for r in similar.keep_one(docs).collect()}
+    assert set(_kept(rows)) < alone < {i for i, _ in rows}  # links of the anchors only, all of them true ones
+
+
 def test_similarity_of_exactly_four_fifths_counts(spark):
     words = [f"w{i}" for i in range(12)]  # eight shingles; with two words more there are ten
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words, "x", "y"])), (3, " ".join([*words[1:], "p", "q"]))], "doc_id long, text string")
     assert _kept([(r.doc_id, r.text) for r in docs.collect()]) == [1, 3]
-    assert sorted(r.doc_id for r in minhash.keep_one(docs).collect()) == [1, 3]
+    assert sorted(r.doc_id for r in similar.keep_one(docs).collect()) == [1, 3]
 
 
 def test_sets_of_the_threshold_share_a_band():
@@ -78,7 +102,7 @@ def test_sets_of_the_threshold_share_a_band():
         shared = 0
         for _ in range(1000):
             a = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
-            here, there = minhash.bands(a), minhash.bands(a[rng.permutation(size)[: size * 4 // 5]])
+            here, there = similar.bands(a), similar.bands(a[rng.permutation(size)[: size * 4 // 5]])
             assert (here == there).any()
             shared += (here == there).sum()
-        assert 0.39 < shared / 1000 / minhash.BANDS < 0.43  # 0.8^4
+        assert 0.39 < shared / 1000 / similar.BANDS < 0.43  # 0.8^4
