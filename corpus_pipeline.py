@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, common, decontaminate, minhash, pii, toxicity
+from tessera.llm import bpe, common, decontaminate, pii, similar, toxicity
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -21,8 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-duplicates (Jaccard similarity of five-word shingles 0.8 or more): the document of smallest id of each group stays."""
-    return minhash.keep_one(docs)
+    """Near-duplicates (similarity of five-word shingles 0.8 or more, proposed by SimHash anchors first): the document of smallest id of each group stays."""
+    return similar.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
