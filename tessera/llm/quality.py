@@ -59,11 +59,13 @@ def scorer(model: pu.Model) -> Callable[[bytes | None], float]:
 
 
 def score(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for every row of ``docs``; scores are probabilities of ``quality = 1``.
+    """``doc_id, held_out, score, predicted`` for every row of ``docs``; a higher score means ``quality = 1`` is likelier,
+    but under the sigmoid loss it is no probability.
 
-    Learns from ``labels (doc_id, quality)`` outside the held-out fold and from text; a score depends on the text
-    alone.  A null text is empty.  Without positives every score is the class prior.  Repeated rows are scored each,
-    rows with a null ``doc_id`` too (never learnt from).
+    Learns from ``labels (doc_id, quality)`` that say 1, outside the held-out fold, and from unlabelled text, from which
+    the class prior is estimated; a score depends on the text alone.  A null text is empty.  Without positives every
+    score is ``pu.DEFAULT_PRIOR``.  Repeated rows are scored each, rows with a null ``doc_id`` too (never learnt from,
+    not held out).  Empty ``docs`` give no rows.  Other columns are ignored, also ones named like those returned.
     """
     model = pu.learn(docs, labels, "quality", features, FOLDS, HELD_OUT, loss="sigmoid", **bounds)
     return pu.judged(pu.score(docs, model, scorer), FOLDS, HELD_OUT)

@@ -60,18 +60,20 @@ def scorer(model: pu.Model) -> Callable[[bytes | None], float]:
 
 
 def score(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for every row of ``docs``; scores are probabilities of ``toxic = 1``.
+    """``doc_id, held_out, score, predicted`` for every row of ``docs``; scores estimate the probability of ``toxic = 1``.
 
-    Learns from ``labels (doc_id, toxic)`` outside the held-out fold and from text; a score depends on the text
-    alone.  A null text is empty; without words a document scores the model's base rate.  Without positives every
-    score is the class prior.  Repeated rows are scored each, rows with a null ``doc_id`` too (never learnt from).
+    Learns from ``labels (doc_id, toxic)`` that say 1, outside the held-out fold, and from unlabelled text, from which the
+    class prior is estimated; a score depends on the text alone.  A null text is empty; without words a document scores
+    the model's base rate.  Without positives every score is ``pu.DEFAULT_PRIOR``.  Repeated rows are scored each, rows
+    with a null ``doc_id`` too (never learnt from, not held out).  Empty ``docs`` give no rows.  Other columns are
+    ignored, also ones named like those returned.
     """
     model = pu.learn(docs, labels, "toxic", features, FOLDS, HELD_OUT, **bounds)
     return pu.judged(pu.score(docs, model, scorer), FOLDS, HELD_OUT)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, all columns unchanged.  Rows are treated as in ``score``."""
+    """The rows of ``docs`` that are not predicted toxic, all columns unchanged.  Rows are treated as in ``score``; without positives all stay."""
     model = pu.learn(docs, labels, "toxic", features, FOLDS, HELD_OUT, **bounds)
 
     def judge() -> Callable[[list], list[bool]]:
