@@ -119,11 +119,16 @@ def number_of_sources(reported: DataFrame, run: str, source: str, enabled: int)
     return rows.withColumn("complete", F.col("n_sources") >= enabled)
 
 
-def quorum_text(sources: Column) -> Column:
-    return X.sorted_list(sources)
+def numbered(rows: DataFrame, key: str, ts: str, order: list[str], grain: str = "hour") -> DataFrame:
+    """``rows`` with ``place``, their number within ``key`` in order of ``ts`` and ``order``.
 
-
-def first_row(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row per key in ``order``."""
-    n = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("_n", n).filter("_n = 1").drop("_n")
+    Rows are ranked within an hour of their key, and begin where the hours before end; so a key that holds most rows is
+    ranked by many tasks.  The sums run over counts, a row per key and hour.
+    """
+    cut = rows.withColumn("_hour", F.date_trunc(grain, F.col(ts)))
+    counts = cut.groupBy(key, "_hour").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(key).orderBy("_hour").rowsBetween(W.unboundedPreceding, -1))
+    starts = counts.select(F.col(key).alias("_key"), F.col("_hour").alias("_of"), F.coalesce(before, F.lit(0)).alias("_before"))
+    ranked = cut.withColumn("_rank", F.row_number().over(W.partitionBy(key, "_hour").orderBy(ts, *order)))
+    met = ranked.join(starts, F.col(key).eqNullSafe(F.col("_key")) & F.col("_hour").eqNullSafe(F.col("_of")))
+    return met.withColumn("place", F.col("_before") + F.col("_rank")).select(*rows.columns, "place")

@@ -85,8 +85,9 @@ def verdicts(silver: DataFrame) -> DataFrame:
 def split(silver: DataFrame, by_batch: bool = True) -> tuple[DataFrame, DataFrame]:
     """Accepted and quarantined rows: whole batches by verdict, or single rows."""
     if by_batch:
-        judged = verdicts(silver).select("source_id", "business_date", "passed")
-        rows = silver.join(judged, ["source_id", "business_date"])
+        judged = verdicts(silver).select(F.col("source_id").alias("_source"), F.col("business_date").alias("_date"), "passed")
+        # A row without source or date belongs to a batch without one, whose verdict it needs like any other.
+        rows = silver.join(judged, F.col("source_id").eqNullSafe(F.col("_source")) & F.col("business_date").eqNullSafe(F.col("_date"))).drop("_source", "_date")
         return rows.filter("passed").drop("passed"), rows.filter("NOT passed").drop("passed")
     broken = F.lit(False)
     for test in rules().values():

@@ -40,10 +40,20 @@ def _candidate(ratio: Column, settings: CorporateActions) -> Column:
 
 def single_source(silver: DataFrame, settings: CorporateActions) -> DataFrame:
     """Falls of a series' close that look like a split: earlier close over close near a candidate ratio."""
-    rows = previous_close(silver, settings.window_days).filter("value > 0 AND prev_close > 0").withColumn("detected_ratio", F.col("prev_close") / F.col("value"))
+    return _falls(previous_close(silver, settings.window_days), settings)
+
+
+def _falls(closes: DataFrame, settings: CorporateActions) -> DataFrame:
+    rows = closes.filter("value > 0 AND prev_close > 0").withColumn("detected_ratio", F.col("prev_close") / F.col("value"))
     return rows.withColumn("ratio", _candidate(F.col("detected_ratio"), settings)).filter("ratio IS NOT NULL").select(*SERIES, "business_date", F.lit("SPLIT").alias("action_type"), "ratio", "detected_ratio")
 
 
+def _days(silver: DataFrame, settings: CorporateActions) -> DataFrame:
+    """Per instrument and day the sources' closes and the ones before them, by source."""
+    side = F.struct("source_id", F.col("value").alias("now"), F.col("prev_close").alias("before"))
+    return previous_close(silver, settings.window_days).filter("value > 0").groupBy("instrument_id", "business_date").agg(F.array_sort(F.collect_list(side)).alias("s"))
+
+
 def cross_source(silver: DataFrame, settings: CorporateActions) -> DataFrame:
     """Sources whose closes of a day differ by a candidate ratio: one of the two hasn't adjusted.
 
@@ -51,9 +61,10 @@ def cross_source(silver: DataFrame, settings: CorporateActions) -> DataFrame:
     One action per instrument, day and source: that of the first pair in source order.  Pairs are formed inside a
     day's array of sources, which is as short as there are sources.
     """
-    closes = previous_close(silver, settings.window_days)
-    side = F.struct("source_id", F.col("value").alias("now"), F.col("prev_close").alias("before"))
-    days = closes.filter("value > 0").groupBy("instrument_id", "business_date").agg(F.array_sort(F.collect_list(side)).alias("s"))
+    return _gaps(_days(silver, settings), settings)
+
+
+def _gaps(days: DataFrame, settings: CorporateActions) -> DataFrame:
     later = lambda a, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda b: F.struct(a.alias("a"), b.alias("b")))
     pairs = days.select("instrument_id", "business_date", F.posexplode(F.flatten(F.transform("s", later))).alias("nth", "p")).select("*", "p.a", "p.b")
     pairs = pairs.withColumn("detected_ratio", F.greatest("a.now", "b.now") / F.least("a.now", "b.now")).withColumn("ratio", _candidate(F.col("detected_ratio"), settings)).filter("ratio IS NOT NULL")
@@ -63,8 +74,13 @@ def cross_source(silver: DataFrame, settings: CorporateActions) -> DataFrame:
 
 
 def actions(silver: DataFrame, settings: CorporateActions) -> DataFrame:
-    """Both kinds of detection, with ``method``; of one instrument, source and day the cross-source one stands."""
-    both = single_source(silver, settings).withColumn("method", F.lit("single")).unionByName(cross_source(silver, settings).withColumn("method", F.lit("cross")))
+    """Both kinds of detection, with ``method``; of one instrument, source and day the cross-source one stands.
+
+    Both read the same closes by day, whose shuffle is made once.
+    """
+    days = _days(silver, settings)
+    closes = days.select("instrument_id", "business_date", F.explode("s").alias("c")).select("instrument_id", "business_date", F.col("c.source_id").alias("source_id"), F.col("c.now").alias("value"), F.col("c.before").alias("prev_close"))
+    both = _falls(closes, settings).withColumn("method", F.lit("single")).unionByName(_gaps(days, settings).withColumn("method", F.lit("cross")))
     first = F.row_number().over(W.partitionBy(*SERIES, "business_date").orderBy("method"))  # "cross" before "single"
     return both.withColumn("_first", first).filter("_first = 1").drop("_first")
 

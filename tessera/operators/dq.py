@@ -13,8 +13,8 @@ from tessera.operators import contract
 COLUMNS = ("rule", "severity", "source_id", "instrument_id", "business_date", "field", "value", "reason")
 
 
-def _failures(rows: DataFrame, rule: str, quality: Quality, reason: Column) -> DataFrame:
-    return rows.select(F.lit(rule).alias("rule"), F.lit(quality.severities[rule]).alias("severity"), "source_id", "instrument_id", "business_date", "field", "value", reason.alias("reason"))
+def _failures(rows: DataFrame, rule: str, quality: Quality, reason: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    return rows.select(F.lit(rule).alias("rule"), F.lit(quality.severities[rule]).alias("severity"), "source_id", "instrument_id", "business_date", "field", "value", reason.alias("reason"), *keep)
 
 
 def null_check(silver: DataFrame, quality: Quality) -> DataFrame:
@@ -27,12 +27,12 @@ def range_check(silver: DataFrame, quality: Quality) -> DataFrame:
     return _failures(silver.filter(low), "range_check", quality, F.lit(f"below {quality.range_min:g}"))
 
 
-def staleness_check(silver: DataFrame, config: Config) -> DataFrame:
-    """Rows fetched more days before their business date than their source allows."""
+def staleness_check(silver: DataFrame, config: Config, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows fetched more days before their business date than their source allows; columns to ``keep`` go along."""
     lag = F.date_diff(F.col("business_date"), F.to_date("fetch_ts"))
     limit = F.coalesce(*(F.when(F.col("source_id") == s.source_id, s.staleness_max_days) for s in config.sources), F.lit(1))
     rows = silver.filter(lag > limit)
-    return _failures(rows, "staleness_check", config.quality, F.concat(F.lit("fetched "), lag.cast("string"), F.lit(" days before")))
+    return _failures(rows, "staleness_check", config.quality, F.concat(F.lit("fetched "), lag.cast("string"), F.lit(" days before")), keep)
 
 
 def monotonicity_check(silver: DataFrame, quality: Quality) -> DataFrame:
@@ -47,10 +47,10 @@ def monotonicity_check(silver: DataFrame, quality: Quality) -> DataFrame:
     return _failures(rows, "monotonicity_check", quality, F.col("reason"))
 
 
-def duplicate_check(silver: DataFrame, quality: Quality, keys: tuple[str, ...] = ("instrument_id", "business_date", "field", "source_id")) -> DataFrame:
-    """Second and later rows of a key, in order of value."""
+def duplicate_check(silver: DataFrame, quality: Quality, keys: tuple[str, ...] = ("instrument_id", "business_date", "field", "source_id"), keep: tuple[str, ...] = ()) -> DataFrame:
+    """Second and later rows of a key, in order of value; columns to ``keep`` go along."""
     nth = F.row_number().over(W.partitionBy(*keys).orderBy("value"))
-    return _failures(silver.withColumn("_nth", nth).filter("_nth > 1"), "duplicate_check", quality, F.lit("duplicate key"))
+    return _failures(silver.withColumn("_nth", nth).filter("_nth > 1"), "duplicate_check", quality, F.lit("duplicate key"), keep)
 
 
 def failures(silver: DataFrame, config: Config) -> DataFrame:

@@ -103,6 +103,17 @@ def scenario(bars: DataFrame, name: str) -> DataFrame:
     return made[name](bars)
 
 
+def synthetic_bars(spark: SparkSession, instruments: Sequence[str], date: str, seed: int = 42, base: float = 100.0) -> DataFrame:
+    """A wide bar of one date per instrument, from hashes: the same for every source, so that they agree."""
+    share = lambda *salt: F.pmod(F.xxhash64(F.lit(seed), "instrument_id", *map(F.lit, salt)), F.lit(10_000)) / F.lit(10_000.0)
+    rows = spark.createDataFrame([(i,) for i in instruments], "instrument_id string")
+    rows = rows.withColumns({"Date": F.lit(date).cast("timestamp"), "Open": F.lit(base) * (1 + share("open")), "Close": F.lit(base) * (1 + share("close"))})
+    rows = rows.withColumns({"High": F.greatest("Open", "Close") * 1.01, "Low": F.least("Open", "Close") * 0.99, "Adj Close": F.col("Close"), "Volume": (F.lit(1e6) * (1 + share("volume"))).cast("bigint"), "source_symbol": F.lower("instrument_id"), "fetch_ts": F.col("Date")})
+    from tessera.sources import schemas
+
+    return rows.select(*(F.col(f"`{c}`") for c in schemas.BRONZE.names))
+
+
 def walk(spark: SparkSession, instruments: Sequence[str], days: int, end: str, source_id: str, seed: int = 42, base: float = 100.0, volatility: dict[int, float] | None = None) -> DataFrame:
     """Canonical rows of a random walk: six fields a day, noise from hashes, ``volatility`` by days before the end."""
     noise = lambda *salt: F.xxhash64(F.lit(seed), "instrument_id", "n", *map(F.lit, salt)) / F.lit(2.0**63)

@@ -95,11 +95,7 @@ def elect_known(silver: DataFrame, settings: Reconciliation, sources: tuple[str,
         return elect(votes(silver.filter(F.col("source_id").isin(*sources))), settings)
     n = len(sources)
     value = X.tidy(F.col("value"))
-    mine = lambda s, v: F.when(F.col("source_id") == s, v)
-    if "fetch_ts" in silver.columns:
-        last = [F.max(mine(s, F.when(value.isNotNull(), F.struct("fetch_ts", value.alias("value")))))["value"] for s in sources]
-    else:
-        last = [F.max(mine(s, value)) for s in sources]
+    last = _last_values(silver, sources)
     money = F.min(F.when(F.col("currency").isNotNull() & value.isNotNull(), F.struct("source_id", "currency")))["currency"] if "currency" in silver.columns else F.lit(None).cast("string")
     rows = silver.filter(F.col("source_id").isin(*sources)).groupBy(*KEYS).agg(*(v.alias(f"_v{i}") for i, v in enumerate(last)), F.coalesce(money, F.lit("USD")).alias("currency"))
     there = F.lit(0)
@@ -137,9 +133,9 @@ def elect_known(silver: DataFrame, settings: Reconciliation, sources: tuple[str,
     )
 
 
-def decision_id(run_id: str) -> Column:
-    """Deterministic: the same run decides the same pair under the same id."""
-    return X.content_hash(F.lit(run_id), F.lit("RECONCILE"), "instrument_id", F.col("business_date").cast("string"), "field")
+def decision_id(run_id: str, kind: str = "RECONCILE", part: str = "field") -> Column:
+    """Deterministic: the same run decides the same thing under the same id."""
+    return X.content_hash(F.lit(run_id), F.lit(kind), "instrument_id", F.coalesce(F.col("business_date").cast("string"), F.lit("")), part)
 
 
 def gold(elected: DataFrame, run_id: str) -> DataFrame:
@@ -172,9 +168,20 @@ def reconcile(silver: DataFrame, config: Config, failures: DataFrame | None = No
     return elect_known(rows, config.reconciliation, config.voters)
 
 
-def agreement(silver: DataFrame, tolerance: dict[str, Column]) -> DataFrame:
-    """Every pair of sources of an instrument, date and field, ``source_a < source_b``, with a column per named predicate
-    over ``value_a`` and ``value_b``.  Pairs are formed inside the array of a key's sources."""
-    later = lambda a, i: F.transform(F.slice("votes", i + 2, F.size("votes")), lambda b: F.struct(a["source"].alias("source_a"), b["source"].alias("source_b"), a["value"].alias("value_a"), b["value"].alias("value_b")))
-    pairs = votes(silver).select(*KEYS, F.explode(F.flatten(F.transform("votes", later))).alias("p")).select(*KEYS, "p.*")
+def _last_values(silver: DataFrame, sources: tuple[str, ...]) -> list[Column]:
+    """Per source an aggregate: its value, of several the last one fetched or the largest where that isn't known."""
+    value = X.tidy(F.col("value"))
+    mine = lambda s, v: F.when(F.col("source_id") == s, v)
+    if "fetch_ts" in silver.columns:
+        return [F.max(mine(s, F.when(value.isNotNull(), F.struct("fetch_ts", value.alias("value")))))["value"] for s in sources]
+    return [F.max(mine(s, value)) for s in sources]
+
+
+def agreement(silver: DataFrame, tolerance: dict[str, Column], sources: tuple[str, ...]) -> DataFrame:
+    """Every pair of ``sources`` that both have a value of an instrument, date and field, ``source_a < source_b``, with
+    a column per named predicate over ``value_a`` and ``value_b``.  One hash aggregate, no join."""
+    sources = tuple(sorted(sources))
+    wide = silver.filter(F.col("source_id").isin(*sources)).groupBy(*KEYS).agg(*(v.alias(f"_v{i}") for i, v in enumerate(_last_values(silver, sources))))
+    both = [F.struct(F.lit(a).alias("source_a"), F.lit(b).alias("source_b"), F.col(f"_v{i}").alias("value_a"), F.col(f"_v{j}").alias("value_b")) for i, a in enumerate(sources) for j, b in enumerate(sources) if i < j]
+    pairs = wide.select(*KEYS, F.explode(F.array(*both)).alias("p")).select(*KEYS, "p.*").filter("value_a IS NOT NULL AND value_b IS NOT NULL")
     return pairs.select("*", *(test.alias(name) for name, test in tolerance.items()))

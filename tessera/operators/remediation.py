@@ -53,18 +53,20 @@ def success_rate(succeeded: Column, attempted: Column) -> Column:
     return F.coalesce(F.try_divide(succeeded.cast("double"), attempted.cast("double")), F.lit(1.0))
 
 
-def remediate(spark: SparkSession, silver: DataFrame, config: Config, refetch: Callable[[str, int], DataFrame | None], run_id: str, store: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+def remediate(spark: SparkSession, silver: DataFrame, config: Config, refetch: Callable[[str, int], DataFrame | None], run_id: str, store: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Elect, and while there are breaks fetch the suspected source again, up to the retries allowed.
 
     ``refetch(source_id, lookback_days)`` gives a source's rows anew, or ``None`` if it failed, which counts as an
-    attempt, so that escalation always comes.  ``store`` materialises a result between rounds.  Returns the last
-    elections, the last silver and the log of attempts, whose last outcome is ``clean``, ``remediated`` or
-    ``escalated``.  Only numbers and source names reach the driver.
+    attempt, so that escalation always comes.  What it gives takes the place of the source's rows of the dates that
+    it covers.  ``store`` materialises a result between rounds.  Returns the last elections, the last silver, the log
+    of attempts, whose last outcome is ``clean``, ``remediated`` or ``escalated``, and the breaks of the first
+    election.  Only numbers and source names reach the driver.
     """
     seen: list[DataFrame] = []
     log: list[tuple] = []
     settings = config.remediation
     elected = store(reconcile.reconcile(silver, config))
+    opened = reconcile.breaks(elected)
     for attempt in range(1, settings.max_retries + 2):
         open_ = reconcile.breaks(elected)
         n = open_.count()
@@ -83,6 +85,8 @@ def remediate(spark: SparkSession, silver: DataFrame, config: Config, refetch: C
         fresh = refetch(who, days)
         log.append((run_id, attempt, who, days, n, "refetched" if fresh is not None else "refetch_failed"))
         if fresh is not None:
-            silver = store(silver.filter(F.col("source_id") != who).unionByName(fresh.select(*silver.columns)))
+            fresh = store(fresh.filter(F.col("source_id") == who).select(*silver.columns))
+            covered = fresh.select("business_date", F.lit(who).alias("source_id")).distinct()
+            silver = store(silver.join(covered, ["source_id", "business_date"], "left_anti").select(*silver.columns).unionByName(fresh))
             elected = store(reconcile.reconcile(silver, config))
-    return elected, silver, spark.createDataFrame(log, ATTEMPTS)
+    return elected, silver, spark.createDataFrame(log, ATTEMPTS), opened

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -93,11 +95,19 @@ class Layers:
         return rows.join(F.broadcast(last), ["source_id", "business_date"], "left_semi")
 
     def append_new(self, layer: str, rows: DataFrame, key: str) -> None:
-        """Insert-or-ignore: rows whose key is there already, or stood earlier in the batch, are left out."""
-        rows = rows.dropDuplicates([key])
+        """Insert-or-ignore: rows whose key is there already are left out; of several in the batch the least row counts.
+
+        Only those partitions are read that the batch lies between, as equal keys lie in one partition.  A column of
+        maps cannot be compared; rows are told apart by the others.
+        """
+        plain = [c for c in rows.columns if c != key and not isinstance(rows.schema[c].dataType, T.MapType)]
+        rows = rows.groupBy(key).agg(F.min_by(F.struct(*rows.columns), F.struct(*plain)).alias("_r")).select("_r.*")
         there = self.read(layer)
         if there is not None:
-            rows = rows.join(there.select(key), key, "left_anti")
+            part = PARTITIONS[layer][0]
+            low, high = rows.agg(F.min(part), F.max(part)).first()
+            same = F.col(part).isNull() if low is None else F.col(part).between(low, high) | F.col(part).isNull()
+            rows = rows.join(there.filter(same).select(key), key, "left_anti")
         self._write(layer, rows, "append")
 
     def upsert_scorecard(self, rows: DataFrame) -> None:
@@ -106,7 +116,10 @@ class Layers:
         if there is not None:
             runs = rows.select("run_id").distinct()
             old = there.join(F.broadcast(runs), "run_id", "left_semi").join(rows.select("run_id", "source_id"), ["run_id", "source_id"], "left_anti")
-            rows = self.spark.createDataFrame(rows.unionByName(old).collect(), schemas.SCORECARD)  # a run has a row per source: few
+            # Laid aside first: a partition cannot be read and replaced by one job.
+            aside = f"{self.root}/work/scorecard/{uuid.uuid4().hex}"
+            rows.unionByName(old).write.parquet(aside)
+            rows = self.spark.read.schema(schemas.SCORECARD).parquet(aside)
         self._write("scorecard", rows, "overwrite")
 
     def read_scorecard(self, run_id: str) -> DataFrame | None:
@@ -122,6 +135,14 @@ class Layers:
             rows = rows if value is None else rows.filter(F.col(name) == value)
         return rows.orderBy("ts", "event_id")
 
+    def write_text(self, name: str, text: str) -> None:
+        """A small text file under the root, through Spark's file system, so any store will do."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        out = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+
     def sql(self, text: str) -> DataFrame:
         """Ad-hoc SQL over the layers that there are, as views of their names."""
         for layer in PARTITIONS:

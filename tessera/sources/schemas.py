@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# Field, confidence, decision and status names.
+# Field and decision names.
 FIELDS = ("OPEN", "HIGH", "LOW", "CLOSE", "ADJ_CLOSE", "VOLUME", "SHARES")
 PRICE_FIELDS = ("OPEN", "HIGH", "LOW", "CLOSE", "ADJ_CLOSE")
-CONFIDENCES = ("HIGH", "MEDIUM", "LOW")
 DECISIONS = ("INGEST", "CONTRACT", "DQ", "CORP_ACTION", "RECONCILE", "REMEDIATE", "ESCALATE")
-STATUSES = ("GREEN", "AMBER", "RED")
+# Topics of the event log.
+TOPICS = (
+    "run.started", "run.complete", "ingestion.complete", "ingestion.failed", "contract.violation", "contract.passed", "dq.failure", "dq.passed",
+    "anomaly.detected", "corporate_action.detected", "reconciliation.complete", "reconciliation.break", "remediation.refetch_requested",
+    "remediation.started", "remediation.complete", "remediation.failed", "escalation", "lineage.decision", "reference_data.complete",
+)
 #: Wide feed columns and the fields that they become.
 WIDE_FIELDS = {"Open": "OPEN", "High": "HIGH", "Low": "LOW", "Close": "CLOSE", "Adj Close": "ADJ_CLOSE", "Volume": "VOLUME"}
 
@@ -35,11 +39,8 @@ def _struct(text: str) -> T.StructType:
 
 
 BRONZE = _struct("Date timestamp, Open double, High double, Low double, Close double, Adj Close double, Volume bigint, instrument_id string, source_symbol string, fetch_ts timestamp")
-BRONZE_FX = _struct("Date timestamp, instrument_id string, source_symbol string, rate double, currency string, fetch_ts timestamp")
-BRONZE_SHARES = _struct("Date timestamp, instrument_id string, cik string, metric string, value double, unit string, filed_date string, fetch_ts timestamp")
 SILVER = _struct("instrument_id string, business_date date, field string, value double, currency string, source_id string, source_symbol string, fetch_ts timestamp, event_ts timestamp, content_hash string, ca_adjusted boolean")
 GOLD = _struct("instrument_id string, business_date date, field string, golden_value decimal, confidence string, quorum_sources strings, dissenting_sources strings, tolerance_band string, currency string, decision_id string")
-BREAKS = _struct("instrument_id string, business_date date, field string, source_values doubles, tolerance_band string, dissenting_sources strings")
 DECISIONS_LOG = _struct("decision_id string, ts timestamp, agent string, instrument_id string, business_date date, decision_type string, inputs doubles, outcome string, rule_applied string, verified boolean")
 SCORECARD = _struct("run_id string, business_date date, source_id string, records_ingested bigint, dq_failures_by_rule counts, breaks_detected bigint, remediations_attempted bigint, remediations_succeeded bigint, escalations bigint, corporate_actions_detected bigint, overall_status string")
 EVENTS = _struct("event_id string, topic string, ts timestamp, agent string, run_id string, payload string")

@@ -5,19 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.sources import schemas
+from tessera.sources.schemas import TOPICS
 
-# Topics of the event log.
-TOPICS = (
-    "run.started", "run.complete", "ingestion.complete", "ingestion.failed", "reference_data.complete", "contract.passed", "contract.violation",
-    "dq.passed", "dq.failure", "anomaly.detected", "corporate_action.detected", "reconciliation.complete", "reconciliation.break",
-    "remediation.started", "remediation.refetch_requested", "remediation.complete", "remediation.failed", "escalation", "lineage.decision",
-)
 
 
 def log_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -28,12 +25,34 @@ def log_stream(spark: SparkSession, path: str, files_per_trigger: int | None = N
 
 def kafka_stream(spark: SparkSession, servers: str, topics: str, starting: str = "latest") -> DataFrame:
     """Events of Kafka topics, JSON values; needs Spark's Kafka connector on the class path.  Offsets are checkpointed."""
-    raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topics).option("startingOffsets", starting).load()
-    return raw.select(F.from_json(F.col("value").cast("string"), schemas.EVENTS).alias("e")).select("e.*")
+    return from_kafka(spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topics).option("startingOffsets", starting).load())
+
+
+def from_kafka(raw: DataFrame) -> DataFrame:
+    """Events of Kafka records; a value that is no event is dropped."""
+    return raw.select(F.from_json(F.col("value").cast("string"), schemas.EVENTS).alias("e")).select("e.*").filter("event_id IS NOT NULL")
+
+
+def to_kafka(events: DataFrame, prefix: str = "") -> DataFrame:
+    """Kafka records of events: the run as key, so that a run stays in order, the event as JSON, its topic behind ``prefix``."""
+    return events.select(F.col("run_id").cast("binary").alias("key"), F.to_json(F.struct(*schemas.EVENTS.names)).cast("binary").alias("value"), F.concat(F.lit(prefix), "topic").alias("topic"))
+
+
+def publish(events: DataFrame, servers: str, prefix: str = "", checkpoint: str | None = None) -> StreamingQuery | None:
+    """Send events to Kafka: a batch at once, a stream until all that is there is sent.  Needs Spark's Kafka connector."""
+    rows = to_kafka(events, prefix)
+    if not events.isStreaming:
+        rows.write.format("kafka").option("kafka.bootstrap.servers", servers).save()
+        return None
+    query = rows.writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
 
 
 def subscribe(events: DataFrame, topics: list[str]) -> DataFrame:
-    """Events of the topics that a stage listens to."""
+    """Events of the topics that a stage listens to; a topic that there is not is an error."""
+    if unknown := sorted(set(topics) - set(TOPICS)):
+        raise ValueError(f"unknown topics: {', '.join(unknown)}")
     return events.filter(F.col("topic").isin(*topics))
 
 
@@ -91,18 +110,22 @@ def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -
 def append_log(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Persist a stream of events before anything downstream reads it, ignoring ids that are there already.
 
-    A batch that is replayed after a crash finds its rows in the log and adds nothing.
+    A batch that is replayed after a crash finds its rows in the log and adds nothing.  The log lies by day, and a batch
+    is held against the days that it has events of, not against the whole log.
     """
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        rows = batch.dropDuplicates(["event_id"])
+        rows = batch.groupBy("event_id").agg(F.min(F.struct("ts", "topic", "agent", "run_id", "payload")).alias("r")).select("event_id", "r.*")
+        rows = rows.select(*schemas.EVENTS.names, F.to_date("ts").alias("day"))
+        days = rows.agg(F.min("day").alias("low"), F.max("day").alias("high")).first()
         try:
-            there = spark.read.schema(schemas.EVENTS).parquet(path)
-            rows = rows.join(there.select("event_id"), "event_id", "left_anti")
-        except Exception as error:  # the first batch finds no log yet
+            there = spark.read.schema(T.StructType([*schemas.EVENTS.fields, T.StructField("day", T.DateType())])).parquet(path)
+            same = there.filter(F.col("day").between(days.low, days.high) | F.col("day").isNull())
+            rows = rows.join(same.select("event_id"), "event_id", "left_anti")
+        except AnalysisException as error:  # the first batch finds no log yet
             if "PATH_NOT_FOUND" not in str(error):
                 raise
-        rows.select(*schemas.EVENTS.names).write.mode("append").parquet(path)
+        rows.write.mode("append").partitionBy("day").parquet(path)
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

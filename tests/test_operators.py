@@ -205,12 +205,12 @@ def _breaks(spark, rows):
 
 
 def test_bad_source(spark):
-    names = ("stooq", "yahoo")
-    both = _breaks(spark, [({"stooq": 1.0, "yahoo": 2.0}, ["stooq", "yahoo"])])
+    names = ("north", "south")
+    both = _breaks(spark, [({"north": 1.0, "south": 2.0}, ["north", "south"])])
     pick = lambda df, n: remediation.candidates(df, names).select(remediation.bad_source(F.col("candidates"), F.lit(n))).first()[0]
-    assert [pick(both, n) for n in (1, 2, 3)] == ["stooq", "yahoo", "stooq"]
-    assert pick(_breaks(spark, [({"yahoo": 2.0}, ["yahoo"])]), 1) == "stooq"
-    assert pick(_breaks(spark, [({"stooq": 1.0, "yahoo": 2.0}, [])]), 2) == "yahoo"
+    assert [pick(both, n) for n in (1, 2, 3)] == ["north", "south", "north"]
+    assert pick(_breaks(spark, [({"south": 2.0}, ["south"])]), 1) == "north"
+    assert pick(_breaks(spark, [({"north": 1.0, "south": 2.0}, [])]), 2) == "south"
     steps = spark.range(1, 6).select(remediation.lookback(F.col("id").cast("int"), (5, 20, 60)).alias("d"))
     assert [r.d for r in steps.collect()] == [5, 20, 60, 60, 60]
 
@@ -219,16 +219,50 @@ def test_remediation_loop(spark):
     settings = C.Config(sources=(C.Source("a"), C.Source("b")))
     rows = _silver(spark, [("a", "A", DAY, "CLOSE", 100), ("b", "A", DAY, "CLOSE", 150)])
     good = _silver(spark, [("b", "A", DAY, "CLOSE", 100)])
-    keep = lambda df: df.localCheckpoint() if False else spark.createDataFrame(df.collect(), df.schema)
-    elected, _, log = remediation.remediate(spark, rows, settings, lambda s, d: good if s == "b" else None, "r", keep)
+    keep = lambda df: spark.createDataFrame(df.collect(), df.schema)
+    elected, _, log, opened = remediation.remediate(spark, rows, settings, lambda s, d: good if s == "b" else None, "r", keep)
     assert [(r.attempt, r.bad_source, r.lookback_days, r.outcome) for r in log.collect()] == [(1, "a", 5, "refetch_failed"), (2, "b", 20, "refetched"), (2, None, None, "remediated")]
-    assert elected.first().golden_value == 100
-    _, _, log = remediation.remediate(spark, rows, settings, lambda s, d: None, "r", keep)
+    assert elected.first().golden_value == 100 and opened.count() == 1
+    _, _, log, _ = remediation.remediate(spark, rows, settings, lambda s, d: None, "r", keep)
     assert [r.outcome for r in log.collect()] == ["refetch_failed"] * 3 + ["escalated"]
-    _, _, log = remediation.remediate(spark, rows.filter("source_id = 'a'").unionByName(good), settings, lambda s, d: None, "r", keep)
+    _, _, log, _ = remediation.remediate(spark, rows.filter("source_id = 'a'").unionByName(good), settings, lambda s, d: None, "r", keep)
     assert [r.outcome for r in log.collect()] == ["clean"]
 
 
+def test_a_refetch_replaces_the_dates_that_it_covers(spark):
+    import datetime
+
+    settings = C.Config(sources=(C.Source("a"), C.Source("b")))
+    before = DAY - datetime.timedelta(days=1)
+    rows = _silver(spark, [("a", "A", d, "CLOSE", 100) for d in (before, DAY)] + [("b", "A", before, "CLOSE", 100), ("b", "A", DAY, "CLOSE", 150)])
+    good = _silver(spark, [("b", "A", DAY, "CLOSE", 100), ("other", "A", DAY, "CLOSE", 1)])
+    keep = lambda df: spark.createDataFrame(df.collect(), df.schema)
+    elected, silver, _, _ = remediation.remediate(spark, rows, settings, lambda s, d: good if s == "b" else None, "r", keep)
+    assert silver.count() == 4 and [r.golden_value for r in elected.collect()] == [100, 100]
+
+
+def test_numbers_in_order(spark):
+    rows = spark.range(2000).selectExpr("id", "CASE WHEN id % 10 = 0 THEN 'b' WHEN id % 97 = 3 THEN NULL ELSE 'a' END AS topic", "timestamp_seconds(1700000000 + id * 37 % 20000) AS ts")
+    rows = rows.withColumn("ts", F.when(F.col("id") % 50 != 7, F.col("ts")))
+    from pyspark.sql import Window as W
+
+    plain = rows.withColumn("place", F.row_number().over(W.partitionBy("topic").orderBy("ts", "id")).cast("long"))
+    assert audit.numbered(rows, "topic", "ts", ["id"]).exceptAll(plain.select(*rows.columns, "place")).count() == 0
+
+
+def test_pairs_of_sources(spark):
+    rows = _silver(spark, [("a", "A", DAY, "CLOSE", 100), ("b", "A", DAY, "CLOSE", 101), ("c", "A", DAY, "CLOSE", None), ("a", "B", DAY, "CLOSE", 1), ("a", "B", DAY, "CLOSE", 2)])
+    found = reconcile.agreement(rows, {"near": F.abs(F.col("value_a") - F.col("value_b")) < 2}, ("c", "b", "a")).collect()
+    assert [(r.instrument_id, r.source_a, r.source_b, r.value_a, r.value_b, r.near) for r in found] == [("A", "a", "b", 100.0, 101.0, True)]
+
+
+def test_rows_without_date_or_source_are_quarantined(spark):
+    rows = _silver(spark, [("a", "A", DAY, "CLOSE", 100), ("a", "B", None, "CLOSE", 100), (None, "C", DAY, "CLOSE", 100)])
+    accepted, rejected = contract.split(rows)
+    assert [r.instrument_id for r in accepted.collect()] == ["A"] and sorted(r.instrument_id for r in rejected.collect()) == ["B", "C"]
+    assert {r.rule for r in contract.violations(rejected).collect()} == {"business_date_missing", "source_id_missing"}
+
+
 def test_scorecards(spark):
     log = lambda *kinds: spark.createDataFrame([(1, k) for k in kinds], "business_date int, decision_type string")
     card = lambda *kinds: audit.scorecard_from_decisions(log(*kinds), ["business_date"]).first()

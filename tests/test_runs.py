@@ -35,11 +35,54 @@ def test_run_and_replay(spark, tmp_path):
     assert [r.outcome for r in result.attempts.orderBy("attempt").collect()][-1] == "escalated"
     assert engine.replay(layers, "run1", SETTINGS).count() == 0
     assert layers.read_gold("run1", "2024-01-03").count() == 23 and layers.read_gold("none", "2024-01-03").count() == 0
-    assert layers.sql("SELECT count(*) AS n FROM decisions").first().n == result.gold.count()
-    layers.append_new("decisions", result.decisions, "decision_id")
-    assert layers.read("decisions").count() == result.gold.count()
+    kinds = {r.decision_type: r.n for r in layers.sql("SELECT decision_type, count(*) AS n FROM decisions GROUP BY 1").collect()}
+    assert kinds == {"INGEST": 9, "CONTRACT": 9, "DQ": 12, "RECONCILE": result.gold.count(), "ESCALATE": 3}
+    failed = layers.read("decisions").filter("NOT verified").groupBy("agent").count().collect()
+    assert {r.agent for r in failed} >= {"contract", "remediation"}
+    drifted = layers.read("quarantine").filter("quarantine_reason = 'schema_drift'")
+    assert drifted.count() == 12 and "Open" in drifted.first().payload and "missing columns: Close" in drifted.first().error
+    layers.append_new("decisions", result.decisions.withColumn("ts", F.current_timestamp()), "decision_id")
+    assert layers.read("decisions").count() == sum(kinds.values())
+    assert layers.read_scorecard("run1").count() == result.scorecard.count() == 6
+    topics = {r.topic: r.n for r in audit.topic_counts(layers.events("run1")).collect()}
+    assert topics["ingestion.complete"] == 9 and topics["contract.violation"] == 3 and topics["contract.passed"] == 6 and topics["reconciliation.break"] == 3
+    assert topics["remediation.started"] == 1 and topics["remediation.refetch_requested"] == topics["remediation.failed"] == 3 and topics["escalation"] == 3
+    assert topics["run.started"] == topics["run.complete"] == 1 and set(topics) <= set(streaming.TOPICS)
     mended = engine.run(spark, layers, {"s1": bronze, "s2": bad}, SETTINGS, "run2", refetch=lambda s, d: contract.to_silver(bronze, s))
     assert mended.breaks.count() == 0 and {r.overall_status for r in mended.scorecard.collect()} == {"AMBER"}
+    done = layers.read("decisions").filter("decision_type = 'REMEDIATE'")
+    assert done.count() == 3 and all(r.verified and r.inputs["n_left"] == 0 and r.inputs["n_opened"] == 1 for r in done.collect())
+    assert layers.read_scorecard("run1").count() == 6 and layers.read_scorecard("run2").count() == 6
+
+
+def test_a_run_without_rows(spark, tmp_path):
+    layers = Layers(spark, str(tmp_path))
+    result = engine.run(spark, layers, {"s1": _bronze(spark).limit(0)}, SETTINGS, "empty")
+    assert result.gold.count() == result.breaks.count() == result.decisions.count() == 0 and layers.read("gold") is None
+    assert sorted(r.topic for r in layers.events("empty").collect()) == ["run.complete", "run.started"]
+    assert [r.outcome for r in result.attempts.collect()] == ["clean"]
+
+
+def test_reference_feeds_pass_by_the_election(spark, tmp_path):
+    rates = spark.createDataFrame([(datetime.datetime(2024, 1, 2), "EURUSD", "usd", 1.1, "USD", datetime.datetime(2024, 1, 2))], "Date timestamp, instrument_id string, source_symbol string, rate double, currency string, fetch_ts timestamp")
+    layers = Layers(spark, str(tmp_path))
+    bronze = _bronze(spark, days=1)
+    result = engine.run(spark, layers, {"s1": bronze, "s2": bronze, "rates": rates}, SETTINGS, "r", kinds={"rates": "rates"})
+    assert result.gold.filter("instrument_id = 'EURUSD'").count() == 0 and result.silver.filter("source_id = 'rates'").count() == 1
+    topics = {r.topic: r.n for r in audit.topic_counts(result.events).collect()}
+    assert topics["reference_data.complete"] == 1 and topics["ingestion.complete"] == 2
+    with pytest.raises(ValueError):
+        engine.run(spark, layers, {"s1": bronze}, SETTINGS, "x", kinds={"s1": "nothing"})
+
+
+def test_kafka_records(spark):
+    events = _events(spark, [("e1", "dq.passed", 0, "s1", "r1")])
+    sent = streaming.to_kafka(events, "q.")
+    assert bytes(sent.first().key) == b"r1" and sent.first().topic == "q.dq.passed"
+    back = streaming.from_kafka(sent.select("value").unionByName(spark.createDataFrame([(bytearray(b"no event"),)], "value binary")))
+    assert back.collect() == events.collect()
+    with pytest.raises(ValueError):
+        streaming.subscribe(events, ["dq.passed", "nowhere"])
 
 
 def test_layers(spark, tmp_path):
