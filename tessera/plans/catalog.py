@@ -13,9 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera import functions as X
-from tessera.config import ABSOLUTE, BPS, PCT, Anomaly, Config, CorporateActions, Quality, Reconciliation, Tolerance
-from tessera.operators import anomaly, audit, contract, corporate_actions, dq, inject, reconcile, remediation
-from tessera.sources import feeds
+from tessera.config import ABSOLUTE, BPS, PCT, Anomaly, Config, CorporateActions, Quality, Reconciliation, Source, Tolerance
+from tessera.operators import anomaly, audit, contract, corporate_actions, dq, inject, log, reconcile, remediation
+from tessera.sources import feeds, layers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -169,17 +169,22 @@ def election_unanimous(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "tolerance_pairs",
-    f"""WITH {FEED}
-SELECT a.instrument_id, a.business_date, a.source_id AS source_a, b.source_id AS source_b,
-       abs(a.value - b.value) / greatest(abs(a.value), abs(b.value)) * 10000 <= 25 AS within_bps,
-       abs(a.value - b.value) / greatest(abs(a.value), abs(b.value)) * 100 <= 5 AS within_pct,
-       abs(a.value - b.value) <= CAST(0.5 AS DOUBLE) AS within_abs
-FROM feed a JOIN feed b ON a.instrument_id = b.instrument_id AND a.business_date = b.business_date AND a.source_id < b.source_id""",
+    f"""WITH {FEED}, wide AS MATERIALIZED (
+  SELECT instrument_id, business_date, max(value) FILTER (source_id = 's1') AS v1, max(value) FILTER (source_id = 's2') AS v2, max(value) FILTER (source_id = 's3') AS v3
+  FROM feed GROUP BY instrument_id, business_date
+), pairs AS (
+  SELECT instrument_id, business_date, 's1' AS source_a, 's2' AS source_b, v1 AS a, v2 AS b FROM wide
+  UNION ALL SELECT instrument_id, business_date, 's1', 's3', v1, v3 FROM wide
+  UNION ALL SELECT instrument_id, business_date, 's2', 's3', v2, v3 FROM wide
+)
+SELECT instrument_id, business_date, source_a, source_b, abs(a - b) / greatest(abs(a), abs(b)) * 10000 <= 25 AS within_bps,
+       abs(a - b) / greatest(abs(a), abs(b)) * 100 <= 5 AS within_pct, abs(a - b) <= CAST(0.5 AS DOUBLE) AS within_abs
+FROM pairs""",
 )
 def tolerance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.col("value_a"), F.col("value_b")
     tests = {n: X.within_fixed(a, b, t) for n, t in (("within_bps", Tolerance(BPS, 25)), ("within_pct", Tolerance(PCT, 5)), ("within_abs", Tolerance(ABSOLUTE, 0.5)))}
-    return reconcile.agreement(feeds.feed(spark, sf_dir), tests).drop("field", "value_a", "value_b")
+    return reconcile.agreement(feeds.feed(spark, sf_dir), tests, _SOURCES).drop("field", "value_a", "value_b")
 
 
 @query("confidence_distribution", f"WITH {_ELECTION} SELECT confidence, count(*) AS n, min(business_date) AS first_date FROM elected GROUP BY confidence")
@@ -278,12 +283,9 @@ def dq_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.col("l_shipdate").cast("date").alias("business_date"))
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_orderdate").cast("date").alias("fetch_ts"))
     rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    rows = rows.select(F.concat_ws("/", "l_orderkey", "l_linenumber").alias("instrument_id"), "business_date", "fetch_ts", F.lit("SHIP").alias("field"), F.date_diff("business_date", "fetch_ts").cast("double").alias("value"), F.lit("orders").alias("source_id"))
-    from tessera.config import Source
-
-    found = dq.staleness_check(rows, Config(sources=(Source("orders", staleness_max_days=60),)))
-    key = F.split("instrument_id", "/")
-    return found.select(key[0].cast("bigint").alias("l_orderkey"), key[1].cast("int").alias("l_linenumber"), "business_date", F.col("value").cast("bigint").alias("lag_days"))
+    rows = rows.select("l_orderkey", "l_linenumber", F.lit(None).cast("string").alias("instrument_id"), "business_date", "fetch_ts", F.lit("SHIP").alias("field"), F.date_diff("business_date", "fetch_ts").cast("double").alias("value"), F.lit("orders").alias("source_id"))
+    found = dq.staleness_check(rows, Config(sources=(Source("orders", staleness_max_days=60),)), keep=("l_orderkey", "l_linenumber"))
+    return found.select("l_orderkey", "l_linenumber", "business_date", F.col("value").cast("bigint").alias("lag_days"))
 
 
 _MONOTONE = """monotone AS (
@@ -306,9 +308,10 @@ def dq_monotonicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dq_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second and later lines of an order and line number, by the duplicate rule."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    rows = lines.select(F.col("l_orderkey").cast("string").alias("instrument_id"), F.lit(None).cast("date").alias("business_date"), F.col("l_linenumber").cast("string").alias("field"), F.col("l_extendedprice").alias("value"), F.lit("lineitem").alias("source_id"))
-    found = dq.duplicate_check(rows, Quality(), ("instrument_id", "field"))
-    return found.groupBy(F.col("instrument_id").cast("bigint").alias("l_orderkey"), F.col("field").cast("int").alias("l_linenumber")).agg(F.count("*").alias("n_duplicates"))
+    none = F.lit(None).cast("string")
+    rows = lines.select("l_orderkey", "l_linenumber", none.alias("instrument_id"), F.lit(None).cast("date").alias("business_date"), none.alias("field"), F.col("l_extendedprice").alias("value"), F.lit("lineitem").alias("source_id"))
+    found = dq.duplicate_check(rows, Quality(), ("l_orderkey", "l_linenumber"), keep=("l_orderkey", "l_linenumber"))
+    return found.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n_duplicates"))
 
 
 _FOUND = f"""{_MONOTONE}, found AS (
@@ -710,6 +713,25 @@ def replay_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.replay_difference(stored, rows, rows.columns).drop("surplus")
 
 
+@query(
+    "replay_recomputed",
+    f"""WITH {_ELECTION}, stored AS (
+  SELECT instrument_id, business_date, {six_sql('golden')} + CASE WHEN instrument_id LIKE '%7' AND confidence = 'HIGH' THEN 1 ELSE 0 END AS golden_value, confidence, quorum, dissent FROM elected WHERE golden IS NOT NULL
+), replayed AS (SELECT instrument_id, business_date, {six_sql('golden')} AS golden_value, confidence, quorum, dissent FROM elected WHERE golden IS NOT NULL)
+SELECT instrument_id, business_date, golden_value, confidence, 'stored' AS side FROM (SELECT * FROM stored EXCEPT ALL SELECT * FROM replayed)
+UNION ALL SELECT instrument_id, business_date, golden_value, confidence, 'replayed' FROM (SELECT * FROM replayed EXCEPT ALL SELECT * FROM stored)""",
+)
+def replay_recomputed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold elected over columns, tampered with where it was unanimous and the instrument ends in 7, against its
+    recomputation from the same silver by the election over arrays."""
+    kept = ["instrument_id", "business_date", "golden_value", "confidence", "quorum_sources", "dissenting_sources"]
+    rows = lambda elected: reconcile.gold(elected, "run").select(*kept).withColumn("golden_value", F.col("golden_value").cast("double"))
+    wrong = F.col("instrument_id").endswith("7") & (F.col("confidence") == "HIGH")
+    stored = rows(_elected(spark, sf_dir)).withColumn("golden_value", F.col("golden_value") + F.when(wrong, X.double(1)).otherwise(X.double(0)))
+    fresh = rows(reconcile.elect(reconcile.votes(feeds.feed(spark, sf_dir)), _ELECT))
+    return audit.replay_difference(stored, fresh, kept).select(*kept[:4], "side")
+
+
 @query(
     "symbol_lookup",
     """SELECT l_orderkey, l_linenumber, p_name AS instrument, n_name AS market FROM lineitem JOIN part ON p_partkey = l_partkey
@@ -810,8 +832,8 @@ def inject_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inject.inject(_events(spark, sf_dir).select("event_id", F.col("ts").alias("event_ts")), "stale_feed", days=3)
 
 
-@query("inject_spike", f"WITH {FEED} SELECT {_SERIES}, {cut_sql('value * 3')} AS value FROM feed")
-def inject_spike(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("inject_volatility_regime", f"WITH {FEED} SELECT {_SERIES}, {cut_sql('value * 3')} AS value FROM feed")
+def inject_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _series(inject.inject(feeds.feed(spark, sf_dir), "volatility_regime"), cut(F.col("value")).alias("value"))
 
 
@@ -823,8 +845,167 @@ def tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "event_query_ordered",
-    "SELECT event_id, event_type AS topic, ts, CAST(row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS INT) AS place FROM events",
+    "SELECT event_id, event_type AS topic, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS place FROM events",
 )
 def events_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.row_number().over(W.partitionBy("event_type").orderBy("ts", "event_id"))
-    return _events(spark, sf_dir).select("event_id", F.col("event_type").alias("topic"), "ts", place.alias("place"))
+    rows = _events(spark, sf_dir).select("event_id", F.col("event_type").alias("topic"), "ts")
+    return audit.numbered(rows, "topic", "ts", ["event_id"])
+
+
+# --- Rounds of remediation and the whole log -------------------------------------------------------------------------
+
+_PAIR = Config(sources=(Source("s1"), Source("s3")), reconciliation=_ELECT)
+
+
+def _healed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``remediate`` over ``s1`` and ``s3``, where ``s3``, asked again, gives what ``s1`` has."""
+    rows = feeds.feed(spark, sf_dir)
+    silver = rows.filter("source_id <> 's2'")
+    true = lambda source: rows.filter("source_id = 's1'").withColumn("source_id", F.lit(source))
+    return silver, *remediation.remediate(spark, silver, _PAIR, lambda source, days: true(source), "run", lambda frame: frame)
+
+
+_PAIRED = f"""{FEED}, duo AS MATERIALIZED (
+  SELECT instrument_id, business_date, max(value) FILTER (source_id = 's1') AS a, max(value) FILTER (source_id = 's3') AS c FROM feed WHERE source_id <> 's2' GROUP BY instrument_id, business_date
+), torn AS (SELECT instrument_id, business_date, NOT abs(a - c) / greatest(abs(a), abs(c)) * 10000 <= 25 AS broken, a, c FROM duo)"""
+
+
+@query(
+    "remediation_rounds",
+    f"""WITH {_PAIRED}, n AS (SELECT count(*) FILTER (broken) AS n_breaks FROM torn)
+SELECT CAST(1 AS INT) AS attempt, 's1' AS bad_source, CAST(5 AS INT) AS lookback_days, n_breaks, 'refetched' AS outcome FROM n WHERE n_breaks > 0
+UNION ALL SELECT 2, 's3', 20, n_breaks, 'refetched' FROM n WHERE n_breaks > 0
+UNION ALL SELECT CASE WHEN n_breaks > 0 THEN 2 ELSE 0 END, NULL, NULL, 0, CASE WHEN n_breaks > 0 THEN 'remediated' ELSE 'clean' END FROM n""",
+)
+def remediation_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The attempts that the loop makes until nothing is broken any more."""
+    return _healed(spark, sf_dir)[3].drop("run_id")
+
+
+@query(
+    "remediated_gold",
+    f"""WITH {_PAIRED} SELECT instrument_id, business_date, {six_sql('a')} AS golden_value, 'HIGH' AS confidence FROM torn""",
+)
+def remediated_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold of the last election of the loop."""
+    rows = reconcile.gold(_healed(spark, sf_dir)[1], "run")
+    return rows.select("instrument_id", "business_date", F.col("golden_value").cast("double").alias("golden_value"), "confidence")
+
+
+@query(
+    "decision_log_all_kinds",
+    f"""WITH {BARS}, {LONG}, {FAULTY}, {_FOUND}, {_PAIRED}, {_splits_sql('feed')},
+batches AS (SELECT source_id, business_date, count(*) AS n_rows, count(*) FILTER (value IS NULL OR field = 'VOLUMEN') = 0 AS passed FROM faulty GROUP BY ALL),
+wrong AS (SELECT DISTINCT source_id, business_date FROM found),
+entries AS (
+  SELECT business_date, 'INGEST' AS decision_type, 'ingestion' AS agent, TRUE AS verified FROM batches
+  UNION ALL SELECT business_date, 'CONTRACT', 'contract', passed FROM batches
+  UNION ALL SELECT b.business_date, 'DQ', 'quality', w.source_id IS NULL FROM batches b LEFT JOIN wrong w ON w.source_id = b.source_id AND w.business_date = b.business_date
+  UNION ALL SELECT business_date, 'CORP_ACTION', 'corporate_actions', TRUE FROM single
+  UNION ALL SELECT business_date, 'REMEDIATE', 'remediation', TRUE FROM (SELECT DISTINCT business_date FROM torn WHERE broken)
+  UNION ALL SELECT business_date, 'RECONCILE', 'reconciliation', TRUE FROM torn
+)
+SELECT business_date, decision_type, agent, verified, count(*) AS n FROM entries GROUP BY ALL""",
+)
+def decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of all kinds of decisions by date: batches of the faulty bars, splits of the feed, a healed election."""
+    faulty = _faulty(spark, sf_dir)
+    judged = contract.verdicts(faulty)
+    found = dq.failures(faulty, Config(quality=Quality(enabled=("null_check", "range_check", "monotonicity_check"))))
+    _, elected, _, attempts, opened = _healed(spark, sf_dir)
+    splits = corporate_actions.single_source(feeds.feed(spark, sf_dir), CorporateActions()).withColumn("method", F.lit("single"))
+    decisions = log.together(
+        log.ingestion_decisions(judged, "run"), log.contract_decisions(judged, "run"), log.quality_decisions(dq.verdicts(faulty, found), "run"),
+        log.split_decisions(splits, "run"), log.remediation_decisions(opened, reconcile.breaks(elected), attempts, "run"), reconcile.decisions(elected, "run"),
+    )
+    return decisions.groupBy("business_date", "decision_type", "agent", "verified").agg(F.count("*").alias("n"))
+
+
+# --- Scans, limits and sums ------------------------------------------------------------------------------------------
+
+
+@query(
+    "violations_reported",
+    f"""WITH {BARS}, {LONG}, {FAULTY}
+SELECT rule, source_id, instrument_id, business_date, field FROM (
+  SELECT *, 'value_missing' AS rule FROM faulty WHERE value IS NULL UNION ALL SELECT *, 'field_unknown' FROM faulty WHERE field = 'VOLUMEN')
+ORDER BY rule, source_id, instrument_id, business_date, field LIMIT 20""",
+)
+def violations_reported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many violations as a message carries."""
+    return contract.report(contract.violations(_faulty(spark, sf_dir))).select("rule", "source_id", "instrument_id", "business_date", "field")
+
+
+@query(
+    "rows_adjusted",
+    f"""WITH {FEED}, {_splits_sql('feed')}, adjusted AS (SELECT source_id, business_date, d >= 0 AND EXISTS (SELECT 1 FROM single s WHERE s.instrument_id = f.instrument_id AND s.source_id = f.source_id AND s.business_date > f.business_date) AS hit FROM feed f)
+SELECT source_id, business_date, count(*) AS n_rows, CAST(sum(CASE WHEN hit THEN 1 ELSE 0 END) AS BIGINT) AS n_adjusted FROM adjusted GROUP BY ALL""",
+)
+def rows_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows of a source and day the back-adjustment has changed."""
+    rows = feeds.feed(spark, sf_dir)
+    found = corporate_actions.back_adjusted(rows, corporate_actions.single_source(rows, CorporateActions()))
+    return found.groupBy("source_id", "business_date").agg(F.count("*").alias("n_rows"), F.sum(F.col("ca_adjusted").cast("bigint")).alias("n_adjusted"))
+
+
+_RUNS = """runs AS (
+  SELECT l_suppkey % 3 AS supplier, CAST(l_shipdate AS DATE) AS business_date, concat('r', CAST(l_linenumber % 2 AS VARCHAR)) AS run_id,
+         concat('s', CAST(l_suppkey % 3 AS VARCHAR)) AS source_id, l_orderkey, l_linenumber, l_quantity
+  FROM lineitem
+)"""
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return rows.select(F.col("l_shipdate").cast("date").alias("business_date"), F.concat(F.lit("r"), (F.col("l_linenumber") % 2).cast("string")).alias("run_id"), F.concat(F.lit("s"), (F.col("l_suppkey") % 3).cast("string")).alias("source_id"), "l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query(
+    "silver_window",
+    f"""WITH {_RUNS}, near AS (SELECT * FROM runs WHERE business_date BETWEEN DATE '1995-03-01' - 30 AND DATE '1995-03-01')
+SELECT source_id, business_date, run_id, l_orderkey, l_linenumber, l_quantity FROM near n
+WHERE run_id = (SELECT max(run_id) FROM near m WHERE m.source_id = n.source_id AND m.business_date = n.business_date)""",
+)
+def silver_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of thirty days up to a date, both ends included, of the latest run per source and day."""
+    rows = layers.window(_runs(spark, sf_dir), "1995-03-01", 30)
+    return rows.select("source_id", "business_date", "run_id", "l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query(
+    "silver_for_replay",
+    f"""WITH {_RUNS}, own AS (SELECT * FROM runs WHERE run_id = 'r1')
+SELECT source_id, business_date, l_orderkey, l_linenumber, l_quantity FROM own o WHERE business_date = (SELECT max(business_date) FROM own m WHERE m.source_id = o.source_id)""",
+)
+def silver_for_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's rows of its last date in a run."""
+    return layers.last_of_run(_runs(spark, sf_dir), "r1").select("source_id", "business_date", "l_orderkey", "l_linenumber", "l_quantity")
+
+
+def _injected(spark: SparkSession, sf_dir: str, defect: str, **settings: object) -> DataFrame:
+    """Rows of the feed, rows without a value, rows whose value has changed, and by how much."""
+    rows = feeds.feed(spark, sf_dir).withColumn("was", F.col("value"))
+    found = inject.inject(rows, defect, **settings)
+    changed = F.col("value").isNotNull() & (F.col("value") != F.col("was"))
+    return found.agg(F.count("*").alias("n_rows"), F.count_if(F.col("value").isNull()).alias("n_null"), F.count_if(changed).alias("n_changed"), cut(F.max(F.when(changed, F.col("value") / F.col("was")))).alias("factor"))
+
+
+@query("inject_null_burst", f"WITH {FEED} SELECT count(*) AS n_rows, CAST(greatest(1, floor(count(*) * CAST(0.3 AS DOUBLE))) AS BIGINT) AS n_null, CAST(0 AS BIGINT) AS n_changed, CAST(NULL AS DOUBLE) AS factor FROM feed")
+def inject_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _injected(spark, sf_dir, "null_burst")
+
+
+@query("inject_out_of_range", f"WITH {FEED} SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_null, CAST(1 AS BIGINT) AS n_changed, CAST(100 AS DOUBLE) AS factor FROM feed")
+def inject_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _injected(spark, sf_dir, "out_of_range")
+
+
+@query("inject_unadjusted_split", f"WITH {FEED} SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_null, CAST(1 AS BIGINT) AS n_changed, CAST(2 AS DOUBLE) AS factor FROM feed")
+def inject_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _injected(spark, sf_dir, "unadjusted_split")
+
+
+@query("inject_schema_drift", f"WITH {FEED} SELECT {_SERIES}, {cut_sql('value')} AS price FROM feed")
+def inject_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = feeds.feed(spark, sf_dir).withColumn("value", cut(F.col("value")))
+    return inject.inject(rows, "schema_drift", rename={"value": "price"}, drop=["field"])

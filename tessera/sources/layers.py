@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,18 +80,14 @@ class Layers:
         rows = self.read("silver")
         if rows is None:
             return None
-        last = F.lit(business_date).cast("date")
-        rows = rows.filter(F.col("business_date").between(F.date_sub(last, days), last))
-        return latest_run(rows if source_id is None else rows.filter(F.col("source_id") == source_id))
+        return window(rows, business_date, days, source_id)
 
     def silver_for_replay(self, run_id: str) -> DataFrame | None:
         """Of a run, each source's rows of its last date."""
         rows = self.read("silver")
         if rows is None:
             return None
-        rows = rows.filter(F.col("run_id") == run_id)
-        last = rows.groupBy("source_id").agg(F.max("business_date").alias("business_date"))
-        return rows.join(F.broadcast(last), ["source_id", "business_date"], "left_semi")
+        return last_of_run(rows, run_id)
 
     def append_new(self, layer: str, rows: DataFrame, key: str) -> None:
         """Insert-or-ignore: rows whose key is there already are left out; of several in the batch the least row counts.
@@ -152,10 +147,24 @@ class Layers:
         return self.spark.sql(text)
 
 
+def window(rows: DataFrame, business_date: str, days: int, source_id: str | None = None) -> DataFrame:
+    """Rows from ``days`` before a date up to it, both included, of the latest run per source and date."""
+    last = F.lit(business_date).cast("date")
+    rows = rows.filter(F.col("business_date").between(F.date_sub(last, days), last))
+    return latest_run(rows if source_id is None else rows.filter(F.col("source_id") == source_id))
+
+
+def last_of_run(rows: DataFrame, run_id: str) -> DataFrame:
+    """Of a run, each source's rows of its last date."""
+    rows = rows.filter(F.col("run_id") == run_id)
+    last = rows.groupBy("source_id").agg(F.max("business_date").alias("business_date"))
+    return rows.join(F.broadcast(last), ["source_id", "business_date"], "left_semi")  # a row per source
+
+
 def latest_run(rows: DataFrame) -> DataFrame:
     """Of several runs of one source and date, the rows of the last run id."""
-    last = F.max("run_id").over(W.partitionBy("source_id", "business_date"))
-    return rows.withColumn("_last", last).filter("run_id = _last").drop("_last")
+    last = rows.groupBy("source_id", "business_date").agg(F.max("run_id").alias("run_id"))
+    return rows.join(last, ["source_id", "business_date", "run_id"], "left_semi")
 
 
 class Fixtures:
