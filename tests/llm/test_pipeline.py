@@ -33,8 +33,9 @@ def tables(spark, tmp_path_factory):
             text += f" mail a{i}@b.example.com or token = \"{hashlib.sha1(str(i).encode()).hexdigest()}\""
         docs.append((i, text, "en", f"src{i % 3}", len(text)))
         labels.append((i, 1, int(kind == 1)))
-    docs += [(400, None, None, None, None), (401, "", "en", "x", 0), (None, "no id here", "en", "x", 10)]
-    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    docs += [(400, None, None, None, None), (401, "", "en", "x", 0), (None, "no id here", "en", "x", 10), docs[0], docs[7], (402, _sentence(rng, 60_000), "en", "x", 1)]
+    clash = spark.createDataFrame([(*d, 1, "y") for d in docs], "doc_id long, text string, lang string, source string, n_chars long, score int, k1 string")
+    clash.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     return folder, docs, items

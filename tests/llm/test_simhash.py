@@ -80,7 +80,7 @@ def test_classes_equal_all_pairs(spark, monkeypatch):
 def test_documents_with_odd_rows(spark):
     words = [f"w{i}" for i in range(80)]
     near = words[:79] + ["other"]
-    rows = [(5, " ".join(words), "x"), (3, " ".join(words), "x"), (9, " ".join(near), None), (2, "", "x"), (4, None, "x"), (4, None, "x"), (None, " \n", "x"), (11, "alone here", "x"), (None, "quite another thing", "x")]
+    rows = [(5, " ".join(words), "x"), (3, " ".join(words), "x"), (9, " ".join(near), None), (2, "", "x"), (4, None, "x"), (4, None, "x"), (None, " \n", "x"), (11, "alone here", "x"), (None, "quite another thing", "x"), (12, " ".join(f"long{i}" for i in range(200_000)), "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
     found = sorted(((r.doc_id, r.fp, r.component_id) for r in simhash.near_duplicates(docs).collect()), key=str)
     assert len(found) == len(rows)
