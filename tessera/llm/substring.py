@@ -15,8 +15,9 @@ Windows of ``window`` consecutive words that also start in a document with a sma
    the match grows by the word before it, or falls back to the parent interval.  Where it is ``window`` long, the
    window is reported.  Nothing else decides.
 
-A minimizer with very many words is split over pairs of blocks, so that no pair of segments is lost.  Words are
-compared by 64-bit hashes: a false report needs ``window`` collisions in a row, two unlike texts in one class a
+A minimizer with very many words is split by documents into blocks of ascending ids.  Each block is searched within
+itself as above, and streamed whole against an index of each block before it, so that no pair of segments is lost and
+shards stay bounded but for the segments of one document.  Words are compared by 64-bit hashes: a false report needs ``window`` collisions in a row, two unlike texts in one class a
 collision of 128 bits.
 """
 
@@ -233,6 +234,27 @@ class FMIndex:
         return np.concatenate(rows), np.concatenate(places)
 
 
+def _spans(row: np.ndarray, at: np.ndarray, window: int) -> list[tuple[int, int, int]]:
+    """``(row, start, end)`` of the words under the windows that begin in ``row`` at ``at``."""
+    order = np.lexsort((at, row))
+    row, at = row[order], at[order]
+    if not len(row):
+        return []
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] > at[:-1] + 1)])
+    starts = np.flatnonzero(new)
+    stops = np.append(starts[1:], len(row)) - 1
+    return [(int(row[s]), int(at[s]), int(at[e]) + window) for s, e in zip(starts, stops)]
+
+
+def crossed(rows: list[np.ndarray], asked: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int]]:
+    """``(row, start, end)`` of the words of the rows ``asked`` for under a window that one of the others has too."""
+    index, queries = np.flatnonzero(~asked), np.flatnonzero(asked)
+    if not len(index) or not len(queries):
+        return []
+    found, at = FMIndex([rows[i] for i in index], window).matches([rows[i] for i in queries])
+    return _spans(queries[found], at, window)
+
+
 def repeated(rows: list[np.ndarray], groups: np.ndarray, owners: np.ndarray, copies: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int]]:
     """``(row, start, end)`` of the words of ``rows`` under a window that a row of the same group and a smaller owner has too.
 
@@ -258,15 +280,7 @@ def repeated(rows: list[np.ndarray], groups: np.ndarray, owners: np.ndarray, cop
         found, at = index.matches([rows[i] ^ salt[i] for i in query_rows])
         hits_row.append(query_rows[found])
         hits_at.append(at)
-    row, at = np.concatenate(hits_row), np.concatenate(hits_at)
-    order = np.lexsort((at, row))
-    row, at = row[order], at[order]
-    if not len(row):
-        return []
-    new = np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] > at[:-1] + 1)])
-    starts = np.flatnonzero(new)
-    stops = np.append(starts[1:], len(row)) - 1
-    return [(int(row[s]), int(at[s]), int(at[e]) + window) for s, e in zip(starts, stops)]
+    return _spans(np.concatenate(hits_row), np.concatenate(hits_at), window)
 
 
 def _digest(words: list[bytes]) -> str:
@@ -325,24 +339,35 @@ def duplicate_spans(docs: DataFrame, cut: DataFrame, window: int = WINDOW) -> Da
 
     size = F.col("last") - F.col("first") + window
     shards = max(1, -(-(contents.agg(F.sum(size)).first()[0] or 0) // SHARD_WORDS))
-    # Stored, so that its true size is known: as a rule it is tiny, and the segments' words are not shuffled to meet it.
     hot = common.stored(contents.groupBy("m").agg(F.sum(size).alias("n")).filter(F.col("n") > SHARD_WORDS).select("m", F.ceil(F.col("n") * 2 / SHARD_WORDS).cast("int").alias("blocks")))
-    own = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64(F.col("m"), F.least(F.col("own"), j), F.greatest(F.col("own"), j)))
+    grid = hot.agg(F.max("blocks")).first()[0] or 2
+    bounds = F.percentile_approx("d", [k / grid for k in range(1, grid)]).alias("bounds")
+    # Stored, so that its true size is known: as a rule it is tiny, and the segments' words are not shuffled to meet it.
+    ranges = common.stored(contents.join(hot, "m").groupBy("m").agg(F.first("blocks").alias("blocks"), bounds))
+    own = F.floor(F.size(F.filter("bounds", lambda b: b < F.col("d"))) * F.col("blocks") / grid).cast("int")
+    place = lambda shard, side: F.struct(shard.cast("long").alias("shard"), F.lit(side).alias("side"))
+    within, indexed, asked = 2, 0, 1
+    met = lambda j: (
+        F.when(j == F.col("own"), place(F.xxhash64("m", j, j), within)).when(j > F.col("own"), place(F.xxhash64("m", "own", j), indexed)).otherwise(place(F.xxhash64("m", j, F.col("own")), asked))
+    )
     dealt = (
         common.map_arrow(fetched, extract, "m long, c long, d long, most long, words binary")
-        .join(hot, "m", "left").withColumn("own", own)
-        .withColumn("shard", F.explode(F.when(F.col("blocks").isNull(), F.array(F.pmod(F.xxhash64("m"), F.lit(shards)))).otherwise(pairs)))
-        .select("shard", "m", "c", "d", "most", "words")
+        .join(ranges, "m", "left").withColumn("own", own)
+        .withColumn("to", F.explode(F.when(F.col("blocks").isNull(), F.array(place(F.pmod(F.xxhash64("m"), F.lit(shards)), within))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), met))))
+        .select("to.*", "m", "c", "d", "most", "words")
     )
 
     def search(group: pa.Table) -> pa.Table:
         m, c, d, most = (group.column(n).to_numpy() for n in ("m", "c", "d", "most"))
         rows = [np.frombuffer(w, "<u8") for w in group.column("words").to_pylist()]
-        copied = np.flatnonzero(most > d)
+        side = group.column("side").to_numpy()
+        copied = np.flatnonzero((most > d) & (side == within))
         mine = np.concatenate([np.arange(len(rows)), copied])
         copies = np.arange(len(mine)) >= len(rows)
-        found = repeated([rows[i] for i in mine], m[mine], np.concatenate([d, most[copied]]), copies, window)
+        if (side == within).any():
+            found = repeated([rows[i] for i in mine], m[mine], np.concatenate([d, most[copied]]), copies, window)
+        else:
+            found = crossed(rows, side == asked, window)
         row, start, end = (np.asarray([f[i] for f in found], dtype=np.int64) for i in range(3))
         at = mine[row]
         return pa.table({"m": m[at], "c": c[at], "least": d[at], "copy": copies[row], "s": start, "e": end})
